@@ -87,7 +87,7 @@ def _word_run(gap: int, words: list[str]) -> str:
     """
     first, *rest = words
     between = r"[^\n]{%d,}?" % gap
-    return r"(?m)^(?>[^\n]*?%s)" % first + "".join(f"(?>{between}{w})" for w in rest)
+    return r"(?dm)^(?>[^\n]*?%s)" % first + "".join(f"(?>{between}{w})" for w in rest)
 
 
 def is_blocked(lower: Column) -> Column:
