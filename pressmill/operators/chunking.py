@@ -23,14 +23,14 @@ def sections(text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP) -> Co
     """Chunks cut at the strongest break within reach.
 
     A text that fits is one chunk. Otherwise it is cut into runs of at most
-    ``size - overlap`` characters, each ending at the last blank line in reach,
-    else the last line end, else the last space, else anywhere; each chunk then
+    ``size - overlap`` characters, each ending with the text, else at the last
+    blank line in reach, else the last line end, else the last space, else anywhere; each chunk then
     starts with the whole words, up to ``overlap`` characters, that end the run
     before it. Runs put together give the text back, so nothing is lost.
     """
     reach = size - overlap
     run = "(?s)" + "|".join(
-        [rf".{{0,{reach - 2}}}\n\n", rf".{{0,{reach - 1}}}\n", rf".{{0,{reach - 1}}} "]
+        [rf".{{1,{reach}}}+\z", rf".{{0,{reach - 2}}}\n\n", rf".{{0,{reach - 1}}}\n", rf".{{0,{reach - 1}}} "]
         + [rf".{{1,{reach}}}"]
     )
 
