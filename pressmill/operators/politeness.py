@@ -31,7 +31,7 @@ def schedule(
     the slots given out by earlier runs.
     """
     if last_slots is not None:
-        earliest = last_slots.groupBy(domain).agg((F.max("slot") + period).alias("_from"))
+        earliest = last_slots.groupBy(domain).agg((F.max("slot") + F.lit(period).cast("long")).alias("_from"))
         requests = (
             requests.join(earliest, domain, "left")
             .withColumn("_ready", F.greatest(F.col(at), F.coalesce("_from", F.col(at))))
@@ -39,6 +39,7 @@ def schedule(
         )
     else:
         requests = requests.withColumn("_ready", F.col(at))
+    step = F.lit(period).cast("long")
     count = slices or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = frozen(
         requests.repartitionByRange(count, domain, at, request_id).withColumn(
@@ -46,25 +47,26 @@ def schedule(
         )
     )
     order = Window.partitionBy(domain, "_slice").orderBy(at, request_id)
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
     numbered = cut.withColumn("_n", F.row_number().over(order) - 1).withColumn(
-        "_lead", F.max(F.col("_ready") - F.col("_n") * period).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        "_lead", F.max(F.col("_ready") - F.col("_n") * step).over(so_far)
     )
     before = Window.partitionBy(domain).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
         numbered.groupBy(domain, "_slice")
         .agg(F.count("*").alias("_rows"), F.max("_lead").alias("_peak"))
         .withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .withColumn("_peak", F.col("_peak") - F.col("_offset") * period)
+        .withColumn("_peak", F.col("_peak") - F.col("_offset") * step)
         .withColumn("_carry", F.max("_peak").over(before))
         .select(domain, "_slice", "_offset", "_carry")
     )
-    shift = F.col("_offset") * period
+    shift = F.col("_offset") * step
     return (
         numbered.join(ranges, [domain, "_slice"])
         .withColumn(
             "slot",
             F.greatest(F.col("_lead") - shift, F.coalesce("_carry", F.col("_lead") - shift))
-            + (F.col("_offset") + F.col("_n")) * period,
+            + (F.col("_offset") + F.col("_n")) * step,
         )
         .drop("_ready", "_slice", "_n", "_lead", "_offset", "_carry")
     )
