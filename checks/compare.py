@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
+from collections import Counter
 
 from pressmill.session import local_session
 
@@ -31,38 +32,32 @@ def main(sf_dir: str, names: list[str]) -> int:
         start = time.time()
         try:
             df = run(spark, sf_dir)
-            got = df.toPandas()
+            got = df.collect()
             spent = time.time() - start
             if name not in sql:
                 print(f"{name:27s} rows only {len(got):7d} {spent:6.1f}s", flush=True)
                 continue
             start = time.time()
-            want = base.execute(sql[name]).df()
+            answer = base.execute(sql[name])
+            names_sql = [d[0] for d in answer.description]
+            want = answer.fetchall()
         except Exception as error:  # noqa: BLE001
             print(f"{name:27s} FAILED {str(error)[:600]}", flush=True)
             bad += 1
             continue
         types = {f.name: f.dataType.simpleString() for f in df.schema}
         kinds = base.execute(f"DESCRIBE {sql[name]}").df().set_index("column_name")["column_type"]
-        columns = sorted(got.columns)
-        problem = "" if columns == sorted(want.columns) else f"columns {sorted(want.columns)}"
+        columns = sorted(df.columns)
+        problem = "" if columns == sorted(names_sql) else f"columns {sorted(names_sql)}"
         if not problem and len(got) != len(want):
             problem = f"rows {len(got)} against {len(want)}"
         if not problem:
-            order = columns
-            a, b = (
-                d[columns].astype(object).where(d[columns].notna(), "NULL").astype(str)
-                .sort_values(order).reset_index(drop=True)
-                for d in (got, want)
-            )
-            if "date" in columns:
-                b["date"] = b["date"].str[:10]
-                b = b.sort_values(order).reset_index(drop=True)
-            same = (a == b).all(axis=1)
-            if not same.all():
-                left = a.merge(b, how="outer", indicator=True)
-                left = left[left["_merge"] != "both"]
-                problem = f"{len(left)} rows differ\n{left.head(4).to_dict('records')}"
+            at = [names_sql.index(c) for c in columns]
+            left = Counter(repr(tuple(r[c] for c in columns)) for r in got)
+            right = Counter(repr(tuple(r[i] for i in at)) for r in want)
+            if left != right:
+                ours, theirs = sorted((left - right).items()), sorted((right - left).items())
+                problem = f"{len(ours)} rows differ\n{ours[:2]}\n{theirs[:2]}"
         spark_kinds = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "date": "DATE"}
         off = [c for c in columns if not problem and spark_kinds.get(types[c]) != kinds[c]]
         note = f" types {[(c, types[c], kinds[c]) for c in off]}" if off else ""

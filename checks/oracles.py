@@ -6,6 +6,8 @@ they are put to use is written independently, in the dialect of the checker.
 
 from __future__ import annotations
 
+import re
+
 from checks.queries import NOTES, SCRIPTED, SKIPPED, SLOT_PERIOD, SNIPPETS
 from pressmill.functions import quality as q
 from pressmill.functions.markdown import BYLINES, SOCIAL_HOSTS, SOCIAL_NETWORKS, SOCIAL_VERBS
@@ -53,7 +55,7 @@ BODIES = f"""bodies AS (
 DOMAIN = f"coalesce(nullif(regexp_extract(url, {lit(REGISTERED_DOMAIN)}, 1), ''), 'unknown')"
 
 JS_PATTERNS = [
-    (".+" if gap else ".*").join(words) for gap, words in q.SCRIPT_WORD_RUNS
+    (".+" if gap else ".*").join(map(re.escape, words)) for gap, words in q.SCRIPT_WORD_RUNS
 ] + q.SCRIPT_PATTERNS
 
 NEEDS_SCRIPT = (

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import bodies as body_functions
 from pressmill.functions import quality, urls
 from pressmill.functions.markdown import is_navigation, is_noise_line
+from pressmill.functions.text import explode_positions
 from pressmill.operators import (
     chunking,
     extraction,
@@ -35,7 +36,7 @@ from pressmill.streaming import jobs
 
 SKIPPED = ["example.net"]
 SCRIPTED = ["example.org"]
-CHARS = "html"
+LONG_TEXTS = ["pages", "documents"]
 SLOT_PERIOD = 1_200_000_000
 
 # What some documents get appended, so that every indicator occurs.
@@ -56,7 +57,8 @@ SNIPPETS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return tables.read_pages(spark, path) if name in LONG_TEXTS else spark.read.parquet(path)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -443,7 +445,7 @@ def new_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = vectors.embed(named_documents(spark, sf_dir))
     return (
-        made.select("path", F.posexplode("embedding").alias("bucket", "w"))
+        explode_positions(made, ["path"], F.col("embedding"), "bucket", "w")
         .filter(F.col("w") != 0)
         .select("path", "bucket", F.round(F.col("w").cast("double"), 6).alias("weight"))
     )

@@ -15,7 +15,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pressmill.functions.markdown import clean_markdown
-from pressmill.functions.text import find_all, is_blank, let, strip, sub
+from pressmill.functions.text import find_all, fixed_map, is_blank, let, strip, sub
 
 # What is left out with its contents.
 DROPPED_TAGS = [
@@ -60,39 +60,65 @@ SCOPE_END = "\ue00c"
 GAP = r"[ \t\r\n]"
 
 
-def open_tag(names: str) -> str:
-    return rf"<(?:{names})(?:[\s/][^>]*)?>"
+def _open(names: str) -> str:
+    """Opening tag after its angle bracket."""
+    return rf"(?:{names})(?:[\s/][^>]*)?>"
 
 
 def close_tag(names: str) -> str:
     return rf"</(?:{names})\s*>"
 
 
-def element(name: str) -> str:
-    """A whole element; one that is never closed runs to the end."""
-    return rf"{open_tag(name)}.*?(?:{close_tag(name)}|\z)"
+def open_tag(names: str) -> str:
+    return f"<{_open(names)}"
+
+
+def _to_end(name: str) -> str:
+    """Rest of an element after ``<``; one that is never closed runs to the end."""
+    return rf"{_open(name)}.*?(?:{close_tag(name)}|\z)"
 
 
-def _attribute_element(name: str) -> str:
+def _closed(name: str) -> str:
+    """Rest of an element that is closed, after ``<``."""
+    return rf"{_open(name)}.*?{close_tag(name)}"
+
+
+def _marked_element(name: str) -> str:
+    """Rest of an element with a dropped class or role, after ``<``."""
     classes, roles = "|".join(DROPPED_CLASSES), "|".join(DROPPED_ROLES)
     marked = "|".join(
         rf"class\s*=\s*{q}(?:[^{q}]*\s)?(?:{classes})(?:\s[^{q}]*)?{q}|role\s*=\s*{q}(?:{roles}){q}"
         for q in "\"'"
     )
-    return rf"<{name}\s(?:[^>]*\s)?(?:{marked})[^>]*>.*?(?:{close_tag(name)}|\z)"
-
-
-UNSEEN = r"(?is)<!--.*?-->|" + "|".join(element(t) for t in ("script", "style"))
-DROPPED = "(?is)" + "|".join(element(t) for t in DROPPED_TAGS)
-DROPPED_BY_ATTRIBUTE = "(?is)" + "|".join(_attribute_element(t) for t in CONTAINERS)
-UNITS = "(?is)" + "|".join(
-    [rf"{open_tag(t)}.*?{close_tag(t)}" for t in ("pre", "code", "a")] + [TAG, "[^<]+", "<"]
-)
-BLOCK_UNITS = "(?is)" + "|".join(
-    [rf"{open_tag(t)}.*?{close_tag(t)}" for t in ("table", "ol")]
-    + [rf"{open_tag(f'h{n}')}.*?{close_tag(f'h{n}')}" for n in range(1, 7)]
-    + [TAG, "[^<]+", "<"]
-)
+    return rf"{name}\s(?:[^>]*\s)?(?:{marked})[^>]*>.*?(?:{close_tag(name)}|\z)"
+
+
+# Each pattern opens with one plain character, which lets a scan skip quickly.
+REST_OF_TAG = r"/?[a-zA-Z][^>]*>|[!?][^>]*>"
+UNSEEN = "(?is)<(?:!--.*?-->|" + "|".join(_to_end(t) for t in ("script", "style")) + ")"
+DROPPED = "(?is)<(?:" + "|".join(
+    [_to_end(t) for t in DROPPED_TAGS] + [_marked_element(t) for t in CONTAINERS]
+) + ")"
+UNITS = "(?is)[^<]+|<(?:" + "|".join(_closed(t) for t in ("pre", "code", "a")) + f"|{REST_OF_TAG})|<"
+BLOCK_UNITS = "(?is)[^<]+|<(?:" + "|".join(
+    _closed(t) for t in ("table", "ol", *(f"h{n}" for n in range(1, 7)))
+) + f"|{REST_OF_TAG})|<"
+# What a tag becomes; any other tag leaves nothing but its text.
+MARKS = {
+    **{f"<{t}": f"{BLOCK_OPEN}\n\n" for t in ("p", "ul")},
+    **{f"</{t}": f"{BLOCK_CLOSE}\n\n" for t in ("p", "ul")},
+    **{f"<{t}": BLOCK_OPEN for t in ("div", "dl", "dt", "dd")},
+    **{f"</{t}": BLOCK_CLOSE for t in ("div", "dl", "dt", "dd")},
+    **{f"</{t}": SCOPE_END for t in ("article", "section", "main", "body", "html")},
+    **{f"<{t}": STRONG_OPEN for t in ("b", "strong")},
+    **{f"</{t}": STRONG_CLOSE for t in ("b", "strong")},
+    **{f"<{t}": EM_OPEN for t in ("i", "em")},
+    **{f"</{t}": EM_CLOSE for t in ("i", "em")},
+    "<li": f"{BLOCK_OPEN}{LI_OPEN}",
+    "</li": f"{LI_CLOSE}{BLOCK_CLOSE}",
+    "<blockquote": f"{BLOCK_OPEN}{QUOTE_OPEN}",
+    "</blockquote": f"{QUOTE_CLOSE}{BLOCK_CLOSE}",
+}
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -115,11 +141,7 @@ def without_unseen(html: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, each decoded once."""
-    names = F.create_map(
-        *[F.lit(v) for n, c in sorted(name2codepoint.items()) for v in (n, chr(c))],
-        F.lit("apos"),
-        F.lit("'"),
-    )
+    names = fixed_map({**{n: chr(c) for n, c in sorted(name2codepoint.items())}, "apos": "'"})
 
     def character(code: Column) -> Column:
         usable = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
@@ -213,12 +235,24 @@ def _unit(unit: Column) -> Column:
     )
 
 
+def _mark(unit: Column) -> Column:
+    marks = fixed_map(MARKS)
+    name = F.lower(F.regexp_extract(unit, r"\A</?[a-zA-Z][a-zA-Z0-9]*", 0))
+    marked = F.coalesce(F.try_element_at(marks, name), F.lit(""))
+    return F.when(unit.rlike(r"\A<[a-zA-Z/!?]"), marked).otherwise(unit)
+
+
+def _marked(html: Column) -> Column:
+    """Text with its tags put as marks."""
+    return F.array_join(F.transform(find_all(html, rf"{TAG}|[^<]+|<"), _mark), "")
+
+
 def _heading(unit: Column) -> Column:
     level = F.substring(unit, 3, 1).cast("int")
     text = strip(sub(sub(unit, r"(?i)</?(?:h[1-6]|p|div)(?:[\s/][^>]*)?>", " "), rf"{GAP}+", " "))
     return F.concat(
-        F.lit(f"{BLOCK_OPEN}\n\n"), F.repeat(F.lit("#"), level), F.lit(" "), text,
-        F.lit(f"\n\n{BLOCK_CLOSE}"),
+        F.lit(f"{BLOCK_OPEN}\n\n"), F.repeat(F.lit("#"), level), F.lit(" "), _marked(text),
+        F.lit(f"{BLOCK_CLOSE}\n\n"),
     )
 
 
@@ -233,7 +267,7 @@ def _numbered_list(unit: Column) -> Column:
             (i + start).cast("string"), F.lit(". "), strip(sub(item, r"(?i)</?p(?:\s[^>]*)?>", "\n"))
         ),
     )
-    return F.concat(F.lit("<ul>"), F.array_join(items, "\n"), F.lit("</ul>"))
+    return _marked(F.concat(F.lit("<ul>"), F.array_join(items, "\n"), F.lit("</ul>")))
 
 
 def _table(unit: Column) -> Column:
@@ -266,7 +300,9 @@ def _table(unit: Column) -> Column:
         ).otherwise(F.concat(F.array(empty, rule), text))
         return F.when(F.size(rows) == 0, strip_tags(unit)).otherwise(F.array_join(whole, "\n"))
 
-    return F.concat(F.lit(f"{BLOCK_OPEN}\n\n"), let(rows, build), F.lit(f"\n\n{BLOCK_CLOSE}"))
+    return F.concat(
+        F.lit(f"{BLOCK_OPEN}\n\n"), _marked(let(rows, build)), F.lit(f"{BLOCK_CLOSE}\n\n")
+    )
 
 
 def _block(unit: Column) -> Column:
@@ -275,33 +311,45 @@ def _block(unit: Column) -> Column:
         .when(unit.rlike(r"(?is)\A<h[1-6][\s/>].*</h[1-6]\s*>\z"), _heading(unit))
         .when(unit.rlike(r"(?is)\A<ol[\s/>].*</ol\s*>\z"), _numbered_list(unit))
         .when(unit.rlike(r"(?is)\A<table[\s/>].*</table\s*>\z"), _table(unit))
-        .otherwise(unit)
+        .otherwise(_mark(unit))
     )
 
 
 def _emphasis(text: Column, opening: str, closing: str, mark: str) -> Column:
     """Paired marks, then marks left open: those end with their block, or with
     the scope they stand in when another block starts first."""
-    pair = rf"{opening}( ?){GAP}*([^{opening}{closing}]*[^{opening}{closing} \t\r\n]){GAP}*?( ?){closing}"
-    out = sub(text, f"{opening}{GAP}*{closing}", "")
-    for _ in range(2):
-        out = sub(out, pair, f"$1{mark}$2{mark}$3")
-    out = sub(out, closing, "")
-    to_block_end = (
-        rf"{opening}( ?){GAP}*([^{opening}{BLOCK_OPEN}{BLOCK_CLOSE}{SCOPE_END}]*"
-        rf"[^{opening}{BLOCK_OPEN}{BLOCK_CLOSE}{SCOPE_END} \t\r\n])({GAP}*{BLOCK_CLOSE})"
+    # white space at the inner edges goes outside, a lasting space only
+    out = sub(text, rf"{opening} {GAP}*", f" {opening}")
+    out = sub(out, rf"{opening}{GAP}+", opening)
+    out = let(
+        out,
+        lambda t: F.when(t.contains(closing), _pairs(t, opening, closing, mark)).otherwise(t),
     )
-    out = sub(out, to_block_end, f"$1{mark}$2{mark}$3")
+    return let(out, lambda t: F.when(t.contains(opening), _open_marks(t, opening, mark)).otherwise(t))
+
+
+def _pairs(text: Column, opening: str, closing: str, mark: str) -> Column:
+    out = sub(text, rf"{GAP}*+(?<= ){closing}", f"{closing} ")
+    out = sub(out, rf"{GAP}++{closing}", closing)
+    for _ in range(2):
+        out = sub(out, f"{opening}{closing}", "")
+        out = sub(out, f"{opening}([^{opening}{closing}]++){closing}", f"{mark}$1{mark}")
+    return F.replace(out, F.lit(closing), F.lit(""))
+
+
+def _open_marks(text: Column, opening: str, mark: str) -> Column:
+    space = " \t\r\n"
+    ends = f"{opening}{BLOCK_OPEN}{BLOCK_CLOSE}{SCOPE_END}"
+    out = sub(text, f"{opening}([^{ends}]++){BLOCK_CLOSE}", f"{mark}$1{mark}{BLOCK_CLOSE}")
 
     def to_scope_end(scope: Column) -> Column:
-        left_open = F.regexp_count(scope, F.lit(opening))
-        body = F.replace(sub(scope, rf"{opening}{GAP}*", opening), F.lit(opening), F.lit(mark))
-        shut = F.concat(
-            sub(body, rf"[{BLOCK_OPEN}{BLOCK_CLOSE} \t\r\n]+\z", ""),
-            F.repeat(F.lit(mark), left_open),
-            F.lit(f"\n\n{BLOCK_CLOSE}"),
+        left_open = F.length(scope) - F.length(F.replace(scope, F.lit(opening), F.lit("")))
+        body = F.rtrim(
+            F.replace(scope, F.lit(opening), F.lit(mark)),
+            F.lit(f"{BLOCK_OPEN}{BLOCK_CLOSE}{space}"),
         )
-        return F.when(left_open == 0, scope).otherwise(shut)
+        shut = F.concat(body, F.repeat(F.lit(mark), left_open), F.lit(f"{BLOCK_CLOSE}\n\n"))
+        return F.when(scope.contains(opening), shut).otherwise(scope)
 
     return F.array_join(F.transform(F.split(out, SCOPE_END), to_scope_end), SCOPE_END)
 
@@ -321,38 +369,24 @@ def _quotes(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, QUOTE_OPEN), quote), "")
 
 
+def _items(text: Column) -> Column:
+    out = sub(text, f"{LI_OPEN}{GAP}*{LI_CLOSE}", "\n")
+    out = sub(out, f"{LI_OPEN}{GAP}*", "\n- ")
+    return sub(out, f"{GAP}*{LI_CLOSE}", "")
+
+
 def convert_html(html: Column) -> Column:
     """Markdown of a page before it is cleaned."""
     out = without_unseen(html)
     out = sub(out, DROPPED, "")
-    out = sub(out, DROPPED_BY_ATTRIBUTE, "")
     out = F.array_join(F.transform(find_all(out, UNITS), _unit), "")
     out = sub(out, rf"(?i){GAP}*(</?(?:{BLOCKS})(?:[\s/][^>]*)?>){GAP}*", "$1")
     out = F.array_join(F.transform(find_all(out, BLOCK_UNITS), _block), "")
-    for pattern, mark in [
-        (open_tag("p|ul"), f"{BLOCK_OPEN}\n\n"),
-        (close_tag("p|ul"), f"\n\n{BLOCK_CLOSE}"),
-        (open_tag("div|dl|dt|dd"), BLOCK_OPEN),
-        (close_tag("div|dl|dt|dd"), BLOCK_CLOSE),
-        (open_tag("li"), f"{BLOCK_OPEN}{LI_OPEN}"),
-        (close_tag("li"), f"{LI_CLOSE}{BLOCK_CLOSE}"),
-        (open_tag("blockquote"), f"{BLOCK_OPEN}{QUOTE_OPEN}"),
-        (close_tag("blockquote"), f"{QUOTE_CLOSE}{BLOCK_CLOSE}"),
-        (close_tag("article|section|main|body|html"), SCOPE_END),
-        (open_tag("b|strong"), STRONG_OPEN),
-        (close_tag("b|strong"), STRONG_CLOSE),
-        (open_tag("i|em"), EM_OPEN),
-        (close_tag("i|em"), EM_CLOSE),
-        (TAG, ""),
-    ]:
-        out = sub(out, rf"(?is){pattern}", mark)
     out = _emphasis(out, STRONG_OPEN, STRONG_CLOSE, "**")
     out = _emphasis(out, EM_OPEN, EM_CLOSE, "*")
-    out = sub(out, f"[{BLOCK_OPEN}{BLOCK_CLOSE}{SCOPE_END}]", "")
-    out = sub(out, f"{LI_OPEN}{GAP}*{LI_CLOSE}", "\n")
-    out = sub(out, f"{LI_OPEN}{GAP}*", "\n- ")
-    out = sub(out, f"{GAP}*{LI_CLOSE}", "")
-    out = _quotes(out)
+    out = F.translate(out, BLOCK_OPEN + BLOCK_CLOSE + SCOPE_END, "")
+    out = let(out, lambda t: F.when(t.contains(LI_OPEN), _items(t)).otherwise(t))
+    out = let(out, lambda t: F.when(t.contains(QUOTE_OPEN), _quotes(t)).otherwise(t))
     return F.translate(decode_entities(out), ANGLE_OPEN + ANGLE_CLOSE, "<>")
 
 

@@ -6,10 +6,14 @@ lower-casing is done once per row however many tests are asked for.
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pressmill.functions.text import any_of, contains_any, find_all, matches_any, strip
+from pressmill.functions.text import any_of, contains_any, find_all, let, matches_any, strip
 
 # Indicator phrases.
 BLOCKED_PHRASES = [
@@ -72,22 +76,25 @@ SCRIPT_WORD_RUNS = [
     (0, ["react", "app"]),
     (0, ["vue", "app"]),
     (0, ["angular", "app"]),
-    (0, ["bundle", r"\.js"]),
-    (0, [r"window\.__", "__"]),
+    (0, ["bundle", ".js"]),
+    (0, ["window.__", "__"]),
 ]
 SCRIPT_PATTERNS = [r"id=[\"']root[\"']", r"id=[\"']app[\"']"]
 SCRIPT_PHRASES = ["<noscript"]
 
 
-def _word_run(gap: int, words: list[str]) -> str:
-    """Regex for ``words`` in order on one line, linear in the line length.
+def _word_run(lower: Column, gap: int, words: list[str]) -> Column:
+    """Whether ``words`` follow one another on one line, linear in its length.
 
-    Taking the first place of each word is enough, so each step is atomic and
-    a line is walked once even when the last word never comes.
+    Plain searches for the words come first and mostly decide. In the pattern
+    the first place of each word is enough, so each step is atomic and a line
+    is walked once even when the last word never comes.
     """
-    first, *rest = words
+    first, *rest = [re.escape(w) for w in words]
     between = r"[^\n]{%d,}?" % gap
-    return r"(?dm)^(?>[^\n]*?%s)" % first + "".join(f"(?>{between}{w})" for w in rest)
+    pattern = r"(?dm)^(?>[^\n]*?%s)" % first + "".join(f"(?>{between}{w})" for w in rest)
+    present = [lower.contains(w) for w in reversed(dict.fromkeys(words))]
+    return reduce(and_, [*present, lower.rlike(pattern)])
 
 
 def is_blocked(lower: Column) -> Column:
@@ -112,11 +119,10 @@ def has_article_content(lower: Column) -> Column:
 
 
 def needs_script(lower: Column) -> Column:
-    runs = [_word_run(gap, words) for gap, words in SCRIPT_WORD_RUNS]
+    runs = [_word_run(lower, gap, words) for gap, words in SCRIPT_WORD_RUNS]
+    mounted = lower.contains("id=") & matches_any(lower, SCRIPT_PATTERNS)
     too_plain = (F.length(lower) < 1000) & ~contains_any(lower, SHORT_PAGE_MARKERS)
-    return (
-        contains_any(lower, SCRIPT_PHRASES) | matches_any(lower, SCRIPT_PATTERNS + runs) | too_plain
-    )
+    return contains_any(lower, SCRIPT_PHRASES) | mounted | any_of(runs) | too_plain
 
 
 def plain_paragraphs(lower: Column) -> Column:
@@ -125,15 +131,15 @@ def plain_paragraphs(lower: Column) -> Column:
 
 
 def has_meaningful_content(lower: Column) -> Column:
-    paragraphs = plain_paragraphs(lower)
+    def enough(paragraphs: Column) -> Column:
+        return (F.size(paragraphs) >= 2) | (
+            F.length(strip(F.array_join(paragraphs, " "))) > 100
+        )
+
     return (
         (F.length(lower) >= 200)
         & contains_any(lower, SHELL_MARKERS)
-        & (
-            contains_any(lower, LAYOUT_MARKERS)
-            | (F.length(strip(F.array_join(paragraphs, " "))) > 100)
-            | (F.size(paragraphs) >= 2)
-        )
+        & (contains_any(lower, LAYOUT_MARKERS) | let(plain_paragraphs(lower), enough))
     )
 
 

@@ -50,3 +50,20 @@ def find_all(col: Column, pattern: str, group: int = 0) -> Column:
 
 def lines(col: Column) -> Column:
     return F.split(col, "\n")
+
+
+def fixed_map(pairs: dict[str, str]) -> Column:
+    """A constant map, written as two delimited literals and folded once."""
+    mark = "\x1f"
+    keys, values = (F.split(F.lit(mark.join(side)), mark) for side in zip(*pairs.items()))
+    return F.map_from_arrays(keys, values)
+
+
+def explode_positions(df, keep: list, items: Column, number: str, out: str):
+    """One row per array item with its position.
+
+    The outer form keeps the optimizer from testing the array for emptiness
+    first, which would compute it twice; rows of empty arrays go afterwards.
+    """
+    exploded = df.select(*keep, F.posexplode_outer(items).alias(number, out))
+    return exploded.filter(F.col(number).isNotNull())

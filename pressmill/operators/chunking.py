@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.functions.text import find_all, is_blank, let, strip
+from pressmill.functions.text import explode_positions, find_all, is_blank, let, strip
 
 CHUNK_SIZE = 2000
 OVERLAP = 50
@@ -65,6 +65,6 @@ def split_documents(
     """One row per chunk; every other column is copied to each chunk."""
     cut = windows if fixed else sections
     keep = [c for c in documents.columns if c != text]
-    return documents.select(
-        *keep, F.posexplode(cut(F.col(text), size, overlap)).alias("chunk_no", text)
+    return explode_positions(
+        documents, keep, cut(F.col(text), size, overlap), "chunk_no", text
     )

@@ -11,7 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressmill.functions.html import attribute, decode_entities, visible_text, without_unseen
-from pressmill.functions.text import find_all, let, strip, sub
+from pressmill.functions.text import (
+    contains_any,
+    explode_positions,
+    find_all,
+    let,
+    strip,
+    sub,
+)
 from pressmill.functions.urls import absolute_url, trailing_number
 from pressmill.schemas import POSITION
 
@@ -65,7 +72,9 @@ def list_issues(
     if limit > 0:
         listed = listed.withColumn("_blocks", F.slice("_blocks", 1, limit))
     return (
-        listed.select(*keep, "_page_url", "_total", F.posexplode("_blocks").alias("_pos", "_block"))
+        explode_positions(
+            listed, [*keep, "_page_url", "_total"], F.col("_blocks"), "_pos", "_block"
+        )
         .select(*keep, "_page_url", "_total", "_pos", issue(F.col("_block")).alias("_issue"))
         .select(
             *keep,
@@ -152,12 +161,13 @@ def summary(div: Column) -> Column:
         )
 
         def shown(unit: Column) -> Column:
-            inner = visible_text(unit)
-            lowered = F.lower(inner)
-            sharing = unit.startswith("<") & F.exists(
-                F.array(*[F.lit(w) for w in SHARING_WORDS]), lambda w: lowered.contains(w)
-            )
-            return F.when(sharing | inner.contains(READING_TIME), "").otherwise(inner)
+            element = unit.startswith("<")
+
+            def told(inner: Column) -> Column:
+                sharing = element & contains_any(F.lower(inner), SHARING_WORDS)
+                return F.when(sharing | inner.contains(READING_TIME), "").otherwise(inner)
+
+            return let(visible_text(unit), told)
 
         return F.array_join(F.filter(F.transform(units, shown), lambda t: t != ""), " ")
 
@@ -192,14 +202,15 @@ def extract_articles(
         F.col(item_of).alias("parent_item_of"),
     ]
     names = [*keep, "issue_num", "parent_item_of"]
+    found = issues.select(*carried, divs.alias("_divs"))
+    titled = F.filter("_divs", lambda d: d.rlike(rf"(?is){title_tag}"))
     return (
-        issues.select(*carried, divs.alias("_divs"))
-        .select(
-            *names,
-            F.size("_divs").alias("_total"),
-            F.posexplode(F.filter("_divs", lambda d: d.rlike(rf"(?is){title_tag}"))).alias(
-                "_pos", "_div"
-            ),
+        explode_positions(
+            found.select(*names, F.size("_divs").alias("_total"), titled.alias("_titled")),
+            [*names, "_total"],
+            F.col("_titled"),
+            "_pos",
+            "_div",
         )
         .select(*names, "_total", "_pos", article(F.col("_div")).alias("_article"))
         .select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.functions import markdown as md
 from pressmill.functions.html import html_to_markdown
 from pressmill.functions.quality import plain_paragraphs
-from pressmill.functions.text import lines
+from pressmill.functions.text import explode_positions, lines
 
 
 def with_markdown(pages: DataFrame, html: str = "content", out: str = "markdown") -> DataFrame:
@@ -24,16 +24,14 @@ def with_clean_markdown(df: DataFrame, text: str, out: str = "markdown") -> Data
 
 def explode_lines(df: DataFrame, text: str, number: str = "line_no", out: str = "line") -> DataFrame:
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(lines(F.col(text))).alias(number, out))
+    return explode_positions(df, keep, lines(F.col(text)), number, out)
 
 
 def explode_paragraphs(
     df: DataFrame, html: str, number: str = "paragraph_no", out: str = "paragraph"
 ) -> DataFrame:
     keep = [c for c in df.columns if c != html]
-    return df.select(*keep, F.lower(html).alias("_lower")).select(
-        *keep, F.posexplode(plain_paragraphs(F.col("_lower"))).alias(number, out)
-    )
+    return explode_positions(df, keep, plain_paragraphs(F.lower(html)), number, out)
 
 
 def with_article_text(articles: DataFrame) -> DataFrame:

@@ -107,26 +107,51 @@ def split_routes(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def _per_url(rendered: DataFrame, url: str, html: str) -> DataFrame:
+    """One row per url, so that a url many pages share cannot multiply them."""
+    return rendered.groupBy(F.col(url)).agg(F.max(html).alias("_rendered"))
+
+
 def with_second_fetch(
     waiting: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html"
 ) -> DataFrame:
     """Fill ``content`` from a second table of rendered pages, '' where it has none.
 
-    The second table is brought to one row per url before the join, so a url
-    that many pages share cannot multiply; the many pages stay on the side that
-    adaptive execution may split.
+    The many pages stay on the side that adaptive execution may split.
     """
-    per_url = rendered.groupBy(F.col(url)).agg(F.max(html).alias("_rendered"))
     return (
-        waiting.join(per_url, url, "left")
+        waiting.join(_per_url(rendered, url, html), url, "left")
         .withColumn("content", F.coalesce("_rendered", F.lit("")))
         .drop("_rendered")
     )
 
 
+def fill_routes(
+    routed: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html"
+) -> DataFrame:
+    """What ``merge_routes`` gives, in one pass over the routed pages.
+
+    All of them enter the join, which costs nothing where they already lie
+    partitioned by url, as they do after the join with the landed pages.
+    """
+    waits = F.col("route") == NEEDS_SCRIPT
+    second = _per_url(rendered, url, html).withColumnRenamed(url, "_second_url")
+    return (
+        routed.join(second, (F.col(url) == F.col("_second_url")) & waits, "left")
+        .withColumn(
+            "content",
+            F.when(waits, F.coalesce("_rendered", F.lit(""))).otherwise(F.col("content")),
+        )
+        .drop("_rendered", "_second_url")
+    )
+
+
 def merge_routes(
     routed: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html"
 ) -> DataFrame:
-    """Complete pages together with those completed by the second fetch."""
+    """Complete pages together with those completed by the second fetch.
+
+    Only the pages that wait are shuffled; the routing runs once per branch.
+    """
     complete, waiting = split_routes(routed)
     return complete.unionByName(with_second_fetch(waiting, rendered, url, html))

@@ -22,27 +22,34 @@ def with_next_turn(
 ) -> DataFrame:
     """Add role, turn and text of the turn that follows each one.
 
-    A conversation is cut into blocks of turn numbers, so one that holds a
-    large part of the table is many groups; the first turn of a block is handed
-    to the last turn of the block before it.
+    Turns are numbered from 0. A conversation is cut into blocks of turn
+    numbers, so one that holds a large part of the table is many groups; the
+    first turn of a block is handed to the last turn of the block before it.
+    What is handed over comes from turns beyond the first block only, a filter
+    the scan can use, and is nothing at all for conversations of common length.
     """
-    order = Window.partitionBy(conv_id, "_block").orderBy(turn)
+    blocked = turns.withColumn("_block", F.floor(F.col(turn) / block_size))
     here = F.struct(
         F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")
     )
-    blocked = turns.withColumn("_block", F.floor(F.col(turn) / block_size)).withColumns(
-        {"_next": F.lead(here).over(order), "_opens": F.lag(turn).over(order).isNull()}
+    by_block = Window.partitionBy(conv_id).orderBy("_block")
+    before = (
+        blocked.select(conv_id, "_block")
+        .distinct()
+        .withColumn("_before", F.lag("_block").over(by_block))
+        .filter(F.col("_before").isNotNull())
     )
     handed = (
-        blocked.filter("_opens")
-        .select(conv_id, "_block", here.alias("_after"))
-        .withColumn(
-            "_block", F.lag("_block").over(Window.partitionBy(conv_id).orderBy("_block"))
-        )
-        .filter(F.col("_block").isNotNull())
+        blocked.filter(F.col(turn) >= block_size)
+        .groupBy(conv_id, "_block")
+        .agg(F.min(here).alias("_after"))
+        .join(before, [conv_id, "_block"])
+        .select(conv_id, F.col("_before").alias("_block"), "_after")
     )
+    order = Window.partitionBy(conv_id, "_block").orderBy(turn)
     return (
-        blocked.join(handed, [conv_id, "_block"], "left")
+        blocked.withColumn("_next", F.lead(here).over(order))
+        .join(handed, [conv_id, "_block"], "left")
         .withColumn("_next", F.coalesce("_next", "_after"))
         .select(
             *turns.columns,

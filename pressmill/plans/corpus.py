@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.operators.extraction import extract_articles, list_issues
 from pressmill.operators.incremental import skip_existing_issues
 from pressmill.operators.markdown import with_markdown
-from pressmill.operators.routing import merge_routes, route
+from pressmill.operators.routing import fill_routes, route
 
 ISSUE_LIMIT = 50
 
@@ -39,7 +39,7 @@ def article_markdown(articles: DataFrame, landed: DataFrame, rendered: DataFrame
     """
     pages = landed.select("url", "html")
     routed = route(articles.join(pages, "url", "left"))
-    return with_markdown(merge_routes(routed, rendered)).drop("html")
+    return with_markdown(fill_routes(routed, rendered)).drop("html")
 
 
 def build_corpus(

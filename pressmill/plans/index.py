@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from pressmill.functions.vectors import DIMENSIONS
 from pressmill.operators.chunking import CHUNK_SIZE, OVERLAP, split_documents
+from pressmill.operators.incremental import skip_stored_chunks
 from pressmill.operators.vectors import embed
+from pressmill.sources.tables import read_vectors
 
 
 def with_chunk_id(chunks: DataFrame, out: str = "vec_id") -> DataFrame:
@@ -24,3 +26,14 @@ def index_documents(
 ) -> DataFrame:
     """Chunks with key and vector, ready for ``append_vectors``."""
     return embed(with_chunk_id(split_documents(documents, "text", size, overlap, fixed)), dim=dim)
+
+
+def append_documents(documents: DataFrame, path: str, **cut) -> None:
+    """Add the chunks of documents to a vector table, each once.
+
+    What is stored is left out by key before any vector is made.
+    """
+    stored = read_vectors(documents.sparkSession, path)
+    chunks = split_documents(documents, "text", **cut)
+    fresh = with_chunk_id(skip_stored_chunks(chunks, stored))
+    embed(fresh).write.mode("append").parquet(path)

@@ -19,9 +19,9 @@ from pressmill.operators.nearest import K
 from pressmill.operators.politeness import PERIOD_MICROS, schedule
 from pressmill.operators.routing import route
 from pressmill.plans.ask import ask
-from pressmill.plans.index import index_documents
+from pressmill.plans.index import append_documents
 from pressmill.sources.tables import read_vectors
-from pressmill.sources.writers import append_vectors, save_articles, save_batch
+from pressmill.sources.writers import save_articles, save_batch
 
 
 def read_stream(
@@ -45,7 +45,7 @@ def stream_index(documents: DataFrame, table: str, checkpoint: str, **cut) -> St
     """New documents into the vector table, each chunk once."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        append_vectors(index_documents(rows, **cut), table)
+        append_documents(rows, table, **cut)
 
     return _start(documents.writeStream.foreachBatch(batch), checkpoint)
 
