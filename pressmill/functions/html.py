@@ -13,6 +13,7 @@ from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill.functions.markdown import clean_markdown
 from pressmill.functions.text import find_all, fixed_map, is_blank, let, strip, sub
@@ -57,6 +58,7 @@ LI_OPEN, LI_CLOSE = "\ue006", "\ue007"
 QUOTE_OPEN, QUOTE_CLOSE = "\ue008", "\ue009"
 ANGLE_OPEN, ANGLE_CLOSE = "\ue00a", "\ue00b"
 SCOPE_END = "\ue00c"
+LIST_OPEN, LIST_CLOSE = "\ue00d", "\ue00e"
 GAP = r"[ \t\r\n]"
 
 
@@ -105,8 +107,10 @@ BLOCK_UNITS = "(?is)[^<]+|<(?:" + "|".join(
 ) + f"|{REST_OF_TAG})|<"
 # What a tag becomes; any other tag leaves nothing but its text.
 MARKS = {
-    **{f"<{t}": f"{BLOCK_OPEN}\n\n" for t in ("p", "ul")},
-    **{f"</{t}": f"{BLOCK_CLOSE}\n\n" for t in ("p", "ul")},
+    "<p": f"{BLOCK_OPEN}\n\n",
+    "</p": f"{BLOCK_CLOSE}\n\n",
+    "<ul": f"{BLOCK_OPEN}{LIST_OPEN}",
+    "</ul": f"{LIST_CLOSE}{BLOCK_CLOSE}",
     **{f"<{t}": BLOCK_OPEN for t in ("div", "dl", "dt", "dd")},
     **{f"</{t}": BLOCK_CLOSE for t in ("div", "dl", "dt", "dd")},
     **{f"</{t}": SCOPE_END for t in ("article", "section", "main", "body", "html")},
@@ -370,9 +374,48 @@ def _quotes(text: Column) -> Column:
 
 
 def _items(text: Column) -> Column:
-    out = sub(text, f"{LI_OPEN}{GAP}*{LI_CLOSE}", "\n")
-    out = sub(out, f"{LI_OPEN}{GAP}*", "\n- ")
-    return sub(out, f"{GAP}*{LI_CLOSE}", "")
+    """List items on lines of their own, set in by the depth of their list.
+
+    The text is cut where items start; the walk over the pieces keeps the depth
+    at which the lists before a piece leave it. A list is set off by blank lines
+    unless it stands in another list.
+    """
+    state = T.StructType(
+        [
+            T.StructField("depth", T.IntegerType()),
+            T.StructField("done", T.ArrayType(T.StringType())),
+        ]
+    )
+    marks = f"{LIST_OPEN}{LIST_CLOSE}{LI_CLOSE}"
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"]
+        opened = F.regexp_count(piece, F.lit(LIST_OPEN))
+        closed = F.regexp_count(piece, F.lit(LIST_CLOSE))
+        own = F.regexp_extract(piece, f"(?s)\\A[^{marks}]*", 0)
+        rest = F.substring(piece, F.length(own) + 1, F.length(piece))
+        inside = sub(sub(rest, f"{LIST_CLOSE}(?=[^{marks}])", "\n"), f"[{marks}]", "")
+        around = F.when(
+            closed >= depth, sub(sub(rest, LI_CLOSE, ""), f"[{LIST_OPEN}{LIST_CLOSE}]+", "\n\n")
+        ).otherwise(inside)
+        # further lines of an item line up with its text
+        inset = F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.greatest(depth, F.lit(1))))
+        body = F.replace(sub(strip(own), r"\n{3,}", "\n\n"), F.lit("\n"), inset)
+        bullet = F.concat(F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0))), F.lit("- "))
+        item = F.concat(F.lit("\n"), bullet, body, around)
+        before = F.concat(own, around)
+        return F.struct(
+            (depth + opened - closed).alias("depth"),
+            F.concat(
+                acc["done"], F.array(F.when(F.size(acc["done"]) == 0, before).otherwise(item))
+            ).alias("done"),
+        ).cast(state)
+
+    pieces = F.split(sub(text, f"{LI_OPEN}{GAP}*{LI_CLOSE}", "\n"), LI_OPEN)
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("done"))
+    return F.aggregate(
+        pieces, start.cast(state), step, lambda acc: F.array_join(acc["done"], "")
+    )
 
 
 def convert_html(html: Column) -> Column:
@@ -385,7 +428,8 @@ def convert_html(html: Column) -> Column:
     out = _emphasis(out, STRONG_OPEN, STRONG_CLOSE, "**")
     out = _emphasis(out, EM_OPEN, EM_CLOSE, "*")
     out = F.translate(out, BLOCK_OPEN + BLOCK_CLOSE + SCOPE_END, "")
-    out = let(out, lambda t: F.when(t.contains(LI_OPEN), _items(t)).otherwise(t))
+    listed = lambda t: t.contains(LI_OPEN) | t.contains(LIST_OPEN)
+    out = let(out, lambda t: F.when(listed(t), _items(t)).otherwise(t))
     out = let(out, lambda t: F.when(t.contains(QUOTE_OPEN), _quotes(t)).otherwise(t))
     return F.translate(decode_entities(out), ANGLE_OPEN + ANGLE_CLOSE, "<>")
 

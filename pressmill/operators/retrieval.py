@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pressmill.operators.nearest import K
+
 # The texts a chat model is given.
 SYSTEM_PROMPT = """You are a helpful assistant that answers questions based on provided context. Follow these guidelines:
 
@@ -19,6 +21,9 @@ PROMPT_QUESTION = "\n\nQuestion: "
 PROMPT_CLOSING = "\n\nPlease answer the question based primarily on the provided context"
 
 
+SMALL_QUERIES = 4096
+
+
 def with_context(
     queries: DataFrame,
     hits: DataFrame,
@@ -26,15 +31,19 @@ def with_context(
     query_id: str = "query_id",
     vector_id: str = "vec_id",
     text: str = "text",
+    k: int = K,
 ) -> DataFrame:
-    """Add the texts of each query's hits in rank order; '' where it has none.
+    """Add the texts of each query's first ``k`` hits in rank order; '' without any.
 
-    Hits carry keys only, at most k per query, so the texts are joined after
-    the ranking and no list outgrows k.
+    Hits carry keys only, so the texts are joined after the ranking and no list
+    outgrows ``k``. Up to ``SMALL_QUERIES`` queries, which is checked on as many
+    rows, there are at most ``k`` times as many hits: they are sent to the
+    chunks, whose texts then need no shuffle.
     """
-    found = hits.select(query_id, vector_id, "rank").join(
-        chunks.select(vector_id, F.col(text).alias("_text")), vector_id
-    )
+    keys = hits.filter(F.col("rank") <= k).select(query_id, vector_id, "rank")
+    if queries.select(query_id).limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES:
+        keys = F.broadcast(keys)
+    found = chunks.select(vector_id, F.col(text).alias("_text")).join(keys, vector_id)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "_text")))
     contexts = found.groupBy(query_id).agg(
         F.array_join(F.transform(ordered, lambda h: h["_text"]), "\n\n").alias("context")

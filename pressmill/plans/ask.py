@@ -16,4 +16,4 @@ def ask(
     """Context and prompts of each ``(query_id, query)`` against a vector table."""
     asked = embed(queries, "query", "query_vec", dim)
     hits = nearest(asked, index, k)
-    return with_prompts(with_context(queries, hits, index))
+    return with_prompts(with_context(queries, hits, index, k=k))

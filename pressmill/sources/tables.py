@@ -36,6 +36,20 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def within_range(stored: DataFrame | None, rows: DataFrame, key: str = "path") -> DataFrame | None:
+    """The stored rows between the least and greatest key of a batch.
+
+    A filter on a plain range lets the scan pass over the files of earlier
+    loads; it holds every key of the batch, so what is found stays the same.
+    """
+    if stored is None:
+        return None
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    if ends["low"] is None:
+        return stored.limit(0)
+    return stored.filter(F.col(key).between(ends["low"], ends["high"]))
+
+
 def list_article_files(spark: SparkSession, path: str) -> DataFrame:
     """``path`` and ``text`` of the Markdown files in the ``issue-*`` folders."""
     files = spark.read.text(f"{path}/issue-*", wholetext=True, pathGlobFilter="*.md")

@@ -196,6 +196,10 @@ PAGES = [
     ("<div><p><b>one</p><p>two</p></div>", "**one**\n\ntwo"),
     ("<p><b></b>x<i> y </i>z</p>", "x *y* z"),
     ("<p>a < b</p>", "a < b"),
+    ("<p>x</p><ul><li>A<ul><li>B</li><li>C<ul><li>D</li></ul></li></ul></li><li>E</li></ul><p>y</p>",
+     "x\n\n- A\n  - B\n  - C\n    - D\n- E\n\ny"),
+    ("<ul><li>A</li></ul>mid<ul><li><p>B</p><p>b</p></li></ul>end", "- A\n\nmid\n\n- B\n\n  b\n\nend"),
+    ("<ul><li></li><li>A</li></ul>", "- A"),
     ("", ""),
 ]
 
