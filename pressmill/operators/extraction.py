@@ -103,11 +103,7 @@ def _sibling_divs(section: Column) -> Column:
         ]
     )
     closer = "</div>"
-    pieces = F.split(sub(section, r"(?i)</div\s*>", closer), r"(?i)(?=<div[\s>])")
-    follow = F.slice(pieces, F.lit(2), F.size(pieces))
-    # a heading directly followed by a div leaves no piece before it
-    whole = F.when(F.element_at(pieces, 1).startswith("<div"), pieces).otherwise(follow)
-    lead = F.when(F.element_at(pieces, 1).startswith("<div"), "").otherwise(F.element_at(pieces, 1))
+    pieces = F.split(sub(section, r"(?i)</div\s*>", closer), r"(?i)<div(?=[\s>])")
 
     def start(over: Column) -> Column:
         return F.struct(
@@ -122,11 +118,8 @@ def _sibling_divs(section: Column) -> Column:
         depth = acc["depth"] + 1 - closes
         # text of the div up to the closing tag that ends it
         ends = depth <= 0
-        taken = F.concat(
-            acc["open"], F.when(ends, F.call_function(
-                "substring_index", piece, F.lit(closer), acc["depth"] + 1
-            )).otherwise(piece),
-        )
+        upto = F.call_function("substring_index", piece, F.lit(closer), acc["depth"] + 1)
+        taken = F.concat(acc["open"], F.lit("<div"), F.when(ends, upto).otherwise(piece))
         moved = F.struct(
             F.greatest(depth, F.lit(0)).alias("depth"),
             (depth < 0).alias("over"),
@@ -139,7 +132,11 @@ def _sibling_divs(section: Column) -> Column:
         unclosed = (acc["open"] != "") & ~acc["over"]
         return F.when(unclosed, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
 
-    return F.aggregate(whole, start(lead.contains(closer)), step, finish)
+    def walk(cut: Column) -> Column:
+        lead, divs = F.element_at(cut, 1), F.slice(cut, F.lit(2), F.size(cut))
+        return F.aggregate(divs, start(lead.contains(closer)), step, finish)
+
+    return let(pieces, walk)
 
 
 def reading_time(div: Column) -> Column:
@@ -203,7 +200,7 @@ def extract_articles(
     ]
     names = [*keep, "issue_num", "parent_item_of"]
     found = issues.select(*carried, divs.alias("_divs"))
-    titled = F.filter("_divs", lambda d: d.rlike(rf"(?is){title_tag}"))
+    titled = F.filter("_divs", lambda d: d.contains("post-title") & d.rlike(rf"(?is){title_tag}"))
     return (
         explode_positions(
             found.select(*names, F.size("_divs").alias("_total"), titled.alias("_titled")),
