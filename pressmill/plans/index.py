@@ -9,7 +9,7 @@ from pressmill.functions.vectors import DIMENSIONS
 from pressmill.operators.chunking import CHUNK_SIZE, OVERLAP, split_documents
 from pressmill.operators.incremental import skip_stored_chunks
 from pressmill.operators.vectors import embed
-from pressmill.sources.tables import read_vectors, within_range
+from pressmill.sources.tables import read_table, within_range
 
 
 def with_chunk_id(chunks: DataFrame, out: str = "vec_id") -> DataFrame:
@@ -33,7 +33,7 @@ def append_documents(documents: DataFrame, path: str, **cut) -> None:
 
     What is stored is left out by key before any vector is made.
     """
-    stored = within_range(read_vectors(documents.sparkSession, path), documents)
+    stored = within_range(read_table(documents.sparkSession, path), documents)
     chunks = split_documents(documents, "text", **cut)
     fresh = with_chunk_id(skip_stored_chunks(chunks, stored))
     embed(fresh).write.mode("append").parquet(path)

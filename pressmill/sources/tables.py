@@ -26,8 +26,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spread(spark.read.parquet(path))
 
 
-def read_vectors(spark: SparkSession, path: str) -> DataFrame | None:
-    """A vector table, or None where none has been written."""
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of vectors or articles, or None where none has been written."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:

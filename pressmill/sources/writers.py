@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.operators.incremental import skip_stored_chunks
 from pressmill.operators.markdown import with_article_text
-from pressmill.sources.tables import read_vectors, within_range
+from pressmill.sources.tables import read_table, within_range
 
 
 def save_articles(articles: DataFrame, path: str) -> None:
@@ -29,7 +29,7 @@ def save_articles(articles: DataFrame, path: str) -> None:
 
 def append_vectors(vectors: DataFrame, path: str) -> None:
     """Append the chunks that the table does not hold yet; a rerun adds nothing."""
-    stored = within_range(read_vectors(vectors.sparkSession, path), vectors)
+    stored = within_range(read_table(vectors.sparkSession, path), vectors)
     skip_stored_chunks(vectors, stored).write.mode("append").parquet(path)
 
 

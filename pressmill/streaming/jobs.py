@@ -20,7 +20,7 @@ from pressmill.operators.politeness import PERIOD_MICROS, schedule
 from pressmill.operators.routing import route
 from pressmill.plans.ask import ask
 from pressmill.plans.index import append_documents
-from pressmill.sources.tables import read_vectors
+from pressmill.sources.tables import read_table
 from pressmill.sources.writers import save_articles, save_batch
 
 
@@ -56,7 +56,7 @@ def stream_answers(
     """Prompts for questions as they come, against the table as it stands."""
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        index = read_vectors(rows.sparkSession, table)
+        index = read_table(rows.sparkSession, table)
         if index is None:
             raise ValueError(f"no vector table at {table}")
         save_batch(ask(rows, index, k), out, batch_id)
@@ -70,10 +70,11 @@ def stream_issues(
     """Articles of issue pages as they land, leaving out issues already stored."""
 
     def batch(rows: DataFrame, _: int) -> None:
-        stored = read_vectors(rows.sparkSession, table)
+        stored = read_table(rows.sparkSession, table)
         if stored is not None:
             rows = skip_existing_issues(rows, stored, force_all=force_all)
-        articles = extract_articles(rows).withColumn("markdown", F.lit(""))
+        # a batch may hold the page of an issue twice
+        articles = extract_articles(rows.dropDuplicates(["num"])).withColumn("markdown", F.lit(""))
         save_articles(articles, table)
 
     return _start(issues.writeStream.foreachBatch(batch), checkpoint)
@@ -89,7 +90,7 @@ def stream_schedule(
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        last = read_vectors(rows.sparkSession, f"{state}/batch_id={batch_id - 1}")
+        last = read_table(rows.sparkSession, f"{state}/batch_id={batch_id - 1}")
         slots = schedule(rows, period=period, last_slots=last)
         save_batch(slots, out, batch_id)
         given = (

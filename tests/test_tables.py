@@ -52,7 +52,7 @@ def documents(spark, *texts):
 
 def test_append_is_idempotent(spark, tmp_path):
     table = str(tmp_path / "vectors")
-    assert tables.read_vectors(spark, table) is None
+    assert tables.read_table(spark, table) is None
     made = index.index_documents(documents(spark, "one two", "three " * 900))
     writers.append_vectors(made, table)
     n = spark.read.parquet(table).count()
