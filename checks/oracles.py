@@ -242,7 +242,7 @@ SELECT CAST(doc_id // 16 AS INTEGER) AS issue_num, 'Document & ' || doc_id AS ti
   CAST(row_number() OVER (PARTITION BY doc_id // 16 ORDER BY lang, doc_id) - 1 AS INTEGER) AS current,
   total, CAST(doc_id // 16 AS INTEGER) AS issue_current
 FROM (SELECT *, CAST(count(*) OVER (PARTITION BY doc_id // 16) AS INTEGER) AS total FROM documents)
-WHERE doc_id % 9 <> 4"""
+WHERE source <> 'src4'"""
 
 HEADERS = f"""
 SELECT 'issue-' || (doc_id // 25) || '/article-' || (doc_id % 25) || '.md' AS path,
@@ -277,16 +277,16 @@ SELECT page_id, route, md5(txt) AS markdown_md5 FROM twice"""
 CORPUS = f"""
 WITH listed AS ({ARTICLES}),
 texts AS (
-  SELECT doc_id, {replaced('text', r'[&<>*_#\[\]\\]', ' ')} AS safe,
+  SELECT lang, {replaced('text', r'[&<>*_#\[\]\\]', ' ')} AS safe,
     'https://' || source || '.example.com/d/' || doc_id || '?a=1&b=2' AS url FROM documents),
 shells AS (
   SELECT *, lower('<html><body><article><h2>Document</h2><p>' || replace(safe, chr(10), '</p><p>') || '</p></article></body></html>') AS low
   FROM texts),
 decided AS (
-  SELECT *, CASE WHEN doc_id % 2 = 1 OR {has_any('low', q.PROTECTION_PHRASES)} OR {NEEDS_SCRIPT} OR NOT {MEANINGFUL}
+  SELECT *, CASE WHEN lang <> 'en' OR {has_any('low', q.PROTECTION_PHRASES)} OR {NEEDS_SCRIPT} OR NOT {MEANINGFUL}
     THEN 'needs_javascript' ELSE 'complete' END AS route FROM shells),
 converted AS (
-  SELECT url, route, CASE WHEN doc_id % 2 = 1 OR route = 'complete' THEN
+  SELECT url, route, CASE WHEN lang <> 'en' OR route = 'complete' THEN
     '## Document' || chr(10) || chr(10) || array_to_string(list_filter(list_transform(
       string_split(safe, chr(10)), lambda l: trim({replaced(replaced('l', '[ \\t]*[\\r][ \\t\\r]*', ' '), '[ \\t]+', ' ')}, ' ')), lambda l: l <> ''), chr(10) || chr(10))
     ELSE '' END AS txt FROM decided),
@@ -328,7 +328,7 @@ FROM (SELECT *, lower(html) AS low FROM bodies)""",
         "route_counts": f"WITH {RESPONSES} SELECT domain, route, count(*) AS n FROM routed GROUP BY ALL",
         "merged_pages": f"""
 WITH {RESPONSES},
-second AS (SELECT DISTINCT url FROM bodies WHERE id % 2 = 0)
+second AS (SELECT DISTINCT url FROM bodies WHERE kind = 'document')
 SELECT kind, id, route, md5(CASE WHEN route = 'complete' THEN content
   WHEN s.url IS NOT NULL THEN '<html>rendered ' || s.url ELSE '' END) AS content_md5
 FROM routed r LEFT JOIN second s ON s.url = r.url""",

@@ -159,11 +159,9 @@ def route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second fetch knows every other page."""
-    rendered = bodies(spark, sf_dir).select(
-        F.when(F.col("id") % 2 == 0, F.col("url")).alias("url"),
-        F.concat(F.lit("<html>rendered "), F.col("url")).alias("html"),
-    ).filter(F.col("url").isNotNull())
+    """The second fetch knows the documents."""
+    known = bodies(spark, sf_dir).filter(F.col("kind") == "document")
+    rendered = known.select("url", F.concat(F.lit("<html>rendered "), F.col("url")).alias("html"))
     return routing.merge_routes(routed(spark, sf_dir), rendered).select(
         "kind", "id", "route", F.md5("content").alias("content_md5")
     )
@@ -315,7 +313,7 @@ def issue_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     escaped = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     key = F.col("doc_id").cast("string")
     title = F.when(
-        F.col("doc_id") % 9 != 4,
+        F.col("source") != "src4",
         F.concat(
             F.lit('<a title="t" href="https://'), "source", F.lit(".example.com/d/"), key,
             F.lit('?a=1&amp;b=2" class="post-title" data-v> Document &amp; '), key, F.lit(" </a>"),
@@ -597,7 +595,8 @@ def corpus_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index pages to article Markdown: issues of documents, articles of pages.
 
     The landed table holds the issue pages and, for every document that is
-    linked to, a page around its text; half of them ask for a second fetch.
+    linked to, a page around its text; all but the English ones ask for a
+    second fetch.
     """
     issues = issue_pages(spark, sf_dir)
     listed = issues.select(
@@ -624,14 +623,14 @@ def corpus_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.regexp_replace(safe, r"\n", "</p><p>"),
         F.lit("</p></article></body></html>"),
     )
-    documents = table(spark, sf_dir, "documents").select("doc_id", article_url.alias("url"), shell.alias("html"))
+    documents = table(spark, sf_dir, "documents").select("lang", article_url.alias("url"), shell.alias("html"))
     landed_articles = documents.select(
-        "url", F.when(F.col("doc_id") % 2 == 0, F.col("html")).otherwise("<noscript>").alias("html")
+        "url", F.when(F.col("lang") == "en", F.col("html")).otherwise("<noscript>").alias("html")
     )
     landed_issues = issues.select(
         F.concat(F.lit("https://news.example.com/issues/"), F.col("num").cast("string")).alias("url"), "html"
     )
-    rendered = documents.filter(F.col("doc_id") % 2 == 1).select("url", "html")
+    rendered = documents.filter(F.col("lang") != "en").select("url", "html")
     built = corpus.build_corpus(
         listed, landed_articles.unionByName(landed_issues), rendered, limit=0
     )

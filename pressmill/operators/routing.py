@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,26 +126,33 @@ def with_second_fetch(
     )
 
 
-def fill_routes(
-    routed: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html"
+def complete_pages(
+    landed: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html", **how
 ) -> DataFrame:
-    """What ``merge_routes`` gives, in one pass over the routed pages.
+    """Route, content and domain of every url, from either table, in one pass.
 
-    All of them enter the join, which costs nothing where they already lie
-    partitioned by url, as they do after the join with the landed pages.
+    ``landed`` holds one row per url, so neither side of the join has a hot key,
+    and a page is looked at once however many articles link to it. A url that
+    only ``rendered`` knows counts as fetched in vain the first time.
     """
+    both = landed.join(_per_url(rendered, url, html), url, "full")
     waits = F.col("route") == NEEDS_SCRIPT
-    second = _per_url(rendered, url, html).withColumnRenamed(url, "_second_url")
     return (
-        routed.join(second, (F.col(url) == F.col("_second_url")) & waits, "left")
+        route(both, url, html, **how)
         .withColumn(
             "content",
             F.when(waits, F.coalesce("_rendered", F.lit(""))).otherwise(F.col("content")),
         )
-        .drop("_rendered", "_second_url")
+        .drop("_rendered")
     )
 
 
+def unfetched_route(url: Column, skipped: list[str] = SKIPPED_DOMAINS) -> Column:
+    """Route of a url that no table has a page for."""
+    skip = is_skipped_domain(registered_domain(url), skipped)
+    return F.when(skip, COMPLETE).otherwise(NEEDS_SCRIPT)
+
+
 def merge_routes(
     routed: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html"
 ) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.operators.extraction import extract_articles, list_issues
 from pressmill.operators.incremental import skip_existing_issues
 from pressmill.operators.markdown import with_markdown
-from pressmill.operators.routing import fill_routes, route
+from pressmill.operators.routing import complete_pages, unfetched_route
 
 ISSUE_LIMIT = 50
 
@@ -33,13 +33,23 @@ def issue_articles(issues: DataFrame, landed: DataFrame) -> DataFrame:
 
 
 def article_markdown(articles: DataFrame, landed: DataFrame, rendered: DataFrame) -> DataFrame:
-    """Articles with Markdown from their landed page or its rendered second copy.
+    """Articles with the Markdown of their landed page or its rendered second copy.
 
-    ``landed`` holds one row per url.
+    ``landed`` holds one row per url. Pages are routed and converted by url, only
+    those an article asks for, and the Markdown, not the page, is joined to the
+    articles: one that many articles link to is converted once, and the articles
+    are the side of the last join that adaptive execution may split.
     """
-    pages = landed.select("url", "html")
-    routed = route(articles.join(pages, "url", "left"))
-    return with_markdown(fill_routes(routed, rendered)).drop("html")
+    asked = articles.select("url").distinct()
+    wanted = landed.select("url", "html").join(asked, "url", "left_semi")
+    again = rendered.select("url", "html").join(asked, "url", "left_semi")
+    pages = with_markdown(complete_pages(wanted, again)).select("url", "route", "markdown")
+    return articles.join(pages, "url", "left").withColumns(
+        {
+            "route": F.coalesce("route", unfetched_route(F.col("url"))),
+            "markdown": F.coalesce("markdown", F.lit("")),
+        }
+    )
 
 
 def build_corpus(

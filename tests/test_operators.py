@@ -117,13 +117,26 @@ def test_routes_are_disjoint_and_rejoin(spark):
         [("http://p.org/0", "<a>"), ("http://p.org/0", "<b>")], "url string, html string"
     )
     merged = routing.merge_routes(routed, rendered)
-    filled = routing.fill_routes(routed, rendered)
     rows = sorted((r.id, r.route, r.content) for r in merged.collect())
-    assert rows == sorted((r.id, r.route, r.content) for r in filled.collect())
     assert len(rows) == 12
     assert {c for i, _, c in rows if i % 2 == 0} == {"<b>", ""}
 
 
+def test_complete_pages_takes_either_table(spark):
+    landed = spark.createDataFrame(
+        [("http://p.org/a", GOOD), ("http://p.org/b", "short"), ("http://p.org/c", None)],
+        "url string, html string",
+    )
+    rendered = spark.createDataFrame(
+        [(f"http://p.org/{n}", f"<p>{n}") for n in "abd"], "url string, html string"
+    )
+    rows = {r.url[-1]: (r.route, r.content) for r in routing.complete_pages(landed, rendered).collect()}
+    assert rows == {
+        "a": ("complete", GOOD), "b": ("needs_javascript", "<p>b"),
+        "c": ("needs_javascript", ""), "d": ("needs_javascript", "<p>d"),
+    }
+
+
 def test_quality_columns(spark):
     df = routing.with_quality(spark.createDataFrame([(GOOD.encode(),)], "html binary"))
     row = df.first()
