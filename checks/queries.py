@@ -512,10 +512,15 @@ def chat_until_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transcripts.until_exit(talks).select("conv_id", "turn", "role")
 
 
+def wall_micros(time: Column) -> Column:
+    """Microseconds of a time without zone, whatever zone the session has."""
+    return F.unix_micros(F.from_utc_timestamp(time.cast("timestamp"), F.current_timezone()))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_type").alias("domain"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"),
+        wall_micros(F.col("ts")).alias("at_micros"),
         F.col("event_id").alias("request_id"),
     )
 
@@ -582,7 +587,7 @@ def stream_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = jobs.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
     asked = events.select(
         F.col("event_type").alias("domain"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("at_micros"),
+        wall_micros(F.col("ts")).alias("at_micros"),
         F.col("event_id").alias("request_id"),
     )
     jobs.stream_schedule(
