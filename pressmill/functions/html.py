@@ -163,8 +163,12 @@ def decode_entities(text: Column) -> Column:
             .otherwise(F.coalesce(F.try_element_at(names, name), unit))
         )
 
-    units = find_all(text, r"&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&")
-    return F.array_join(F.transform(units, one), "")
+    pattern = r"&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
+
+    def decoded(t: Column) -> Column:
+        return F.array_join(F.transform(find_all(t, pattern), one), "")
+
+    return let(text, lambda t: F.when(t.contains("&"), decoded(t)).otherwise(t))
 
 
 def visible_text(html: Column) -> Column:

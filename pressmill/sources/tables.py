@@ -11,14 +11,14 @@ from pressmill.operators.markdown import with_header
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out over the cores where a scan has fewer splits than cores.
+    """Deal rows out over the cores where a scan would leave half of them idle.
 
     Work on the text of pages and documents is long against reading them, so a
-    few large row groups would leave most cores idle. A scan with splits enough
-    for the cluster stays as it is, without a shuffle.
+    few large row groups would hold everything up. A scan with splits enough for
+    the cluster stays as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

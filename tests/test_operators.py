@@ -265,6 +265,13 @@ def test_nearest_with_few_or_no_vectors(spark):
         assert search(q.limit(0), s).count() == 0
 
 
+def test_nearest_leaves_out_missing_vectors(spark):
+    q = spark.createDataFrame([(1, None), (2, [1.0])], "query_id long, query_vec array<double>")
+    s = spark.createDataFrame([(1, None), (2, [3.0])], "vec_id long, embedding array<double>")
+    for search in (nearest.nearest, nearest.nearest_by_cells):
+        assert [(r.query_id, r.vec_id, r.distance) for r in search(q, s).collect()] == [(2, 2, 2.0)]
+
+
 def test_approximate_search_recall(spark):
     stored, asked = points(spark, 600, 3), points(spark, 40, 4)
     s = spark.createDataFrame(stored, "vec_id long, embedding array<double>")
