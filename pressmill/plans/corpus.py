@@ -9,6 +9,7 @@ from pressmill.operators.extraction import extract_articles, list_issues
 from pressmill.operators.incremental import skip_existing_issues
 from pressmill.operators.markdown import with_markdown
 from pressmill.operators.routing import complete_pages, unfetched_route
+from pressmill.session import frozen
 
 ISSUE_LIMIT = 50
 
@@ -60,6 +61,10 @@ def build_corpus(
     limit: int = ISSUE_LIMIT,
     force_all: bool = False,
 ) -> DataFrame:
-    """All articles of the new issues, ready for ``save_articles``."""
+    """All articles of the new issues, ready for ``save_articles``.
+
+    The list of articles, small against their pages, is written once: the choice
+    of pages and the last join read it instead of parsing the issues again.
+    """
     issues = new_issues(index_pages, stored, limit, force_all)
-    return article_markdown(issue_articles(issues, landed), landed, rendered)
+    return article_markdown(frozen(issue_articles(issues, landed)), landed, rendered)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def frozen(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the copy."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as a table in the shared folder and continue from it.
+
+    Lost executors cost nothing of what was computed so far, and the planner
+    knows the size of what follows.
+    """
+    path = f"{shared_dir(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
