@@ -46,8 +46,16 @@ def frozen(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and continue from it.
 
     Lost executors cost nothing of what was computed so far, and the planner
-    knows the size of what follows.
+    knows the size of what follows. The table goes when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/frozen-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
+    removed_at_end(spark, path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have the driver's file system remove ``path`` when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
