@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import simhash
+from pressmill.llm import simhash, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +17,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_simhash]
+def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_simhash, op2_weighted_sampling]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
