@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import simhash, weighted_sampling
+from pressmill.llm import sharding, simhash, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,7 +21,25 @@ def op2_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_sampling.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling]
+def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
+
+
+URL_RULES = [
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+]
+
+
+def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = spark.createDataFrame([(name,) for name in url_filter.BLOCKED_DOMAINS], "key string")
+    return url_filter.judge_pages(table(spark, sf_dir, "pages"), listed, URL_RULES)
+
+
+QUERIES = [op1_simhash, op2_weighted_sampling, op5_rendezvous, op7_bloom_cascade]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
