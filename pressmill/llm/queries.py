@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import sharding, simhash, url_filter, weighted_sampling
+from pressmill.llm import sharding, simhash, token_store, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,22 @@ def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"), listed, URL_RULES)
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op5_rendezvous, op7_bloom_cascade]
+BYTE_BPE = "byte_bpe_50k.json"
+END = 2
+
+
+def tokenizer_file(name: str) -> str:
+    """Where this machine has a public vocabulary file; on a cluster all have it at one place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), END)
+
+
+QUERIES = [op1_simhash, op2_weighted_sampling, op4_token_store, op5_rendezvous, op7_bloom_cascade]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
