@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import sharding, simhash, token_store, url_filter, weighted_sampling
+from pressmill.llm import decontamination, sharding, simhash, token_store, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), END)
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op4_token_store, op5_rendezvous, op7_bloom_cascade]
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [op1_simhash, op2_weighted_sampling, op4_token_store, op5_rendezvous, op7_bloom_cascade, op10_decontamination]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
