@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import decontamination, sharding, simhash, token_store, url_filter, weighted_sampling
+from pressmill.llm import decontamination, quality, sharding, simhash, token_store, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_pages(table(spark, sf_dir, "pages"), listed, URL_RULES)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 BYTE_BPE = "byte_bpe_50k.json"
 END = 2
 
@@ -58,7 +62,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op4_token_store, op5_rendezvous, op7_bloom_cascade, op10_decontamination]
+QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op7_bloom_cascade, op10_decontamination]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
