@@ -36,6 +36,7 @@ def byte_level_pieces(text: str) -> list[str]:
 class PieceEncoder:
     """Encodes texts by pieces; ``encode`` gives the ids of each of a list of strings.
 
+    Pieces are encoded with ``lead`` before them, the first of a text with ``first_lead``.
     Up to ``remembered`` pieces are kept between batches, then memory starts anew.
     """
 
@@ -44,10 +45,11 @@ class PieceEncoder:
         encode: Callable[[list[str]], list],
         pieces: Callable[[str], list[str]] = byte_level_pieces,
         lead: str = " ",
+        first_lead: str = "",
         id_type: str = "<u2",
         remembered: int = REMEMBERED,
     ):
-        self.encode, self.pieces, self.lead = encode, pieces, lead
+        self.encode, self.pieces, self.lead, self.first_lead = encode, pieces, lead, first_lead
         self.id_type, self.remembered = np.dtype(id_type), remembered
         self.code = {2: "H", 4: "I"}[self.id_type.itemsize]
         self.known: dict[str, bytes] = {}
@@ -72,7 +74,7 @@ class PieceEncoder:
         later: set[str] = set()
         for pieces in cut:
             later.update(pieces[1:])
-        self._learn(self.firsts, {pieces[0] for pieces in cut}, "")
+        self._learn(self.firsts, {pieces[0] for pieces in cut}, self.first_lead)
         self._learn(self.known, later, self.lead)
         known, firsts = self.known, self.firsts
         return [firsts[pieces[0]] + b"".join([known[piece] for piece in pieces[1:]]) for pieces in cut]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import decontamination, quality, sharding, simhash, token_store, url_filter, weighted_sampling
+from pressmill.llm import decontamination, pieces, quality, sharding, simhash, token_store, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,7 +62,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op7_bloom_cascade, op10_decontamination]
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded_documents(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
+
+
+QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op7_bloom_cascade, op9_sentencepiece, op10_decontamination]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
