@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import decontamination, pieces, quality, sharding, simhash, token_store, url_filter, weighted_sampling
+from pressmill.llm import decontamination, pieces, quality, sharding, simhash, token_counts, token_store, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), [1.0] * 8, [1.0] * 9)
 
 
+END_OF_TEXT = 50256  # no text has it, as special strings are ordinary text to the encoder
+
+
+def op6_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE), END_OF_TEXT)
+
+
 URL_RULES = [
     ("allow", "org", "/"),
     ("block", "example.org", "/es/"),
@@ -69,7 +76,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_documents(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op7_bloom_cascade, op9_sentencepiece, op10_decontamination]
+QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op6_separator_scan, op7_bloom_cascade, op9_sentencepiece, op10_decontamination]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
