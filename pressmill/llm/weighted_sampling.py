@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pressmill.llm.common import ascii_lower, fresh, frozen
 
 SAMPLES = 64
-LEVELS = 4096
+LEVELS = 1024
 HEX_DIGITS = 4
 TOGETHER = 4
 KEY = ["id", "no_id", "digest"]
@@ -78,13 +78,13 @@ def exploded_terms(texts: DataFrame, keys: list[str]) -> DataFrame:
 def _sample(position: Column, scale: Column, log_scale: Column) -> Column:
     """What one term offers at one position: ln a in the upper bits, (term, t) in the lower 16.
 
-    The hash of term and position gives 12 bits for r, 12 for c, 24 for b and 16
+    The hash of term and position gives 10 bits for r, 10 for c, 28 for b and 16
     that name the term.
     """
     bits = F.xxhash64("term", position)
-    r = F.get(scale, F.shiftrightunsigned(bits, 52).cast("int"))
-    log_c = F.get(log_scale, F.shiftrightunsigned(bits, 40).bitwiseAND(LEVELS - 1).cast("int"))
-    shift = F.shiftrightunsigned(bits, 16).bitwiseAND((1 << 24) - 1) / F.lit(float(1 << 24))
+    r = F.get(scale, F.shiftrightunsigned(bits, 54).cast("int"))
+    log_c = F.get(log_scale, F.shiftrightunsigned(bits, 44).bitwiseAND(LEVELS - 1).cast("int"))
+    shift = F.shiftrightunsigned(bits, 16).bitwiseAND((1 << 28) - 1) / F.lit(float(1 << 28))
     t = F.floor(F.col("log_weight") / r + shift)
     log_a = log_c - r * (t - shift + 1)
     upper = F.shiftleft(((log_a + 512) * (1 << 37)).cast("long"), 16)
@@ -92,7 +92,7 @@ def _sample(position: Column, scale: Column, log_scale: Column) -> Column:
 
 
 def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """``fingerprint`` of each text, per distinct ``keys``: the samples as hexadecimal digits.
+    """``fingerprint`` of each text, per distinct ``keys``: its samples as two bytes each.
 
     Positions are taken ``TOGETHER`` at a time, which keeps the compiled code small;
     all of a text's terms meet where the text is, before anything is shuffled.
@@ -110,12 +110,12 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     ]
     grouped = dealt.groupBy(*keys, part).agg(*least).select(*keys, F.struct(part, F.concat(*digits).alias("text")).alias(parts))
     joined = F.concat_ws("", F.transform(F.sort_array(F.collect_list(parts)), lambda one: one["text"]))
-    return grouped.groupBy(*keys).agg(F.lower(joined).alias("fingerprint"))
+    return grouped.groupBy(*keys).agg(F.unhex(joined).alias("fingerprint"))
 
 
 def likeness(left: Column, right: Column, samples: int = SAMPLES) -> Column:
     """Share of positions at which two fingerprints agree."""
-    part = lambda text, at: F.substring(text, HEX_DIGITS * at + 1, HEX_DIGITS)
+    part = lambda text, at: F.substring(text, HEX_DIGITS // 2 * at + 1, HEX_DIGITS // 2)
     agree = sum((part(left, at) == part(right, at)).cast("int") for at in range(samples))
     return agree / F.lit(float(samples))
 
@@ -215,8 +215,8 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         "n_chars",
         "edited_sha256",
-        "fingerprint",
-        "edited_fingerprint",
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
         likeness(F.col("fingerprint"), F.col("next_fingerprint"), samples).alias("near_next"),
     )
