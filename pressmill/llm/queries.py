@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import decontamination, pieces, quality, sharding, simhash, token_counts, token_store, url_filter, weighted_sampling
+from pressmill.llm import decontamination, hmm, pieces, quality, sharding, simhash, token_counts, token_store, url_filter, weighted_sampling
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +69,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored_documents(table(spark, sf_dir, "documents"))
+
+
 PIECE_BPE = "piece_bpe_32k.model"
 
 
@@ -76,7 +80,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_documents(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op6_separator_scan, op7_bloom_cascade, op9_sentencepiece, op10_decontamination]
+QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op6_separator_scan, op7_bloom_cascade, op8_hidden_markov, op9_sentencepiece, op10_decontamination]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
