@@ -49,7 +49,7 @@ def sample():
             words[at:at] = passage
         text = rng.choice([" ", "\n", "!! "]).join(words)
         docs.append((n, text.upper() if n % 5 == 0 else text))
-    docs += [(500, None), (501, ""), (502, "x the " * 30000 + items[3][1]), (503, "THREE, little: words"), docs[7], docs[7], (None, items[1][1])]
+    docs += [(500, None), (501, ""), (502, "x the " * 9000 + items[3][1]), (503, "THREE, little: words"), docs[7], docs[7], (None, items[1][1])]
     return docs, items
 
 

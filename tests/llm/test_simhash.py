@@ -46,7 +46,7 @@ def texts():
             changed = list(base)
             changed[rng.randrange(len(changed))] = rng.choice(words)
             rows.append((1000 + 10 * n + copy, "\t".join(changed).upper()))
-    rows += [(5000, ""), (5001, None), (5002, " \n"), (5003, "One"), (5004, "ONE two"), (5005, "één two drie vier"), (5006, "lone " * 30000)]
+    rows += [(5000, ""), (5001, None), (5002, " \n"), (5003, "One"), (5004, "ONE two"), (5005, "één two drie vier"), (5006, "lone " * 8000)]
     return rows + [rows[0], (None, rows[0][1]), (None, "nobody else has this text here")]
 
 
