@@ -47,9 +47,3 @@ def hashed_words(text: Column, dim: int = DIMENSIONS) -> Column:
 
     codes = F.array_join(F.transform(words(text), lambda w: code(bucket(w, dim))), "")
     return let(let(codes, counts), scaled)
-
-
-def l2_distance(left: Column, right: Column) -> Column:
-    gaps = F.zip_with(left, right, lambda a, b: a.cast("double") - b.cast("double"))
-    squares = F.transform(gaps, lambda g: g * g)
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))

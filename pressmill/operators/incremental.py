@@ -25,9 +25,23 @@ def skip_existing_issues(
 def skip_stored_chunks(
     chunks: DataFrame, stored: DataFrame | None, key: list[str] | None = None
 ) -> DataFrame:
-    """Chunks that are new: not stored, and each key once within the batch."""
+    """Chunks that are new: not stored, and each key once within the batch.
+
+    What is stored leaves before its text is shuffled. Of chunks with one key the
+    one with the least hash of all its columns stays, whatever the run. Chunks
+    with a NULL in the key could never be told apart again and are left out.
+    """
     key = key or CHUNK_KEY
-    fresh = chunks.dropDuplicates(key)
-    if stored is None:
-        return fresh
-    return fresh.join(stored.select(*key), key, "left_anti")
+    for name in key:
+        chunks = chunks.filter(F.col(name).isNotNull())
+    if stored is not None:
+        chunks = chunks.join(stored.select(*key), key, "left_anti")
+    return first_by_key(chunks, key)
+
+
+def first_by_key(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One whole row per key: that with the least hash of its columns, then the least columns."""
+    rest = [name for name in rows.columns if name not in key]
+    digest = F.xxhash64(*[F.col(name) for name in rest]) if rest else F.lit(0)
+    first = F.min_by(F.struct(*rest) if rest else F.lit(0), digest).alias("_first")
+    return rows.groupBy(*key).agg(first).select(*[name if name in key else F.col(f"_first.{name}") for name in rows.columns])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressmill.session import frozen
 
 PERIOD_MICROS = 1_000_000
+ROWS_PER_RANGE = 500_000
 
 
 def schedule(
@@ -40,7 +41,8 @@ def schedule(
     else:
         requests = requests.withColumn("_ready", F.col(at))
     step = F.lit(period).cast("long")
-    count = slices or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    count = slices or max(least, requests.count() // ROWS_PER_RANGE)
     cut = frozen(
         requests.repartitionByRange(count, domain, at, request_id).withColumn(
             "_slice", F.spark_partition_id()

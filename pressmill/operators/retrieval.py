@@ -21,9 +21,6 @@ PROMPT_QUESTION = "\n\nQuestion: "
 PROMPT_CLOSING = "\n\nPlease answer the question based primarily on the provided context"
 
 
-SMALL_QUERIES = 4096
-
-
 def with_context(
     queries: DataFrame,
     hits: DataFrame,
@@ -36,13 +33,11 @@ def with_context(
     """Add the texts of each query's first ``k`` hits in rank order; '' without any.
 
     Hits carry keys only, so the texts are joined after the ranking and no list
-    outgrows ``k``. Up to ``SMALL_QUERIES`` queries, which is checked on as many
-    rows, there are at most ``k`` times as many hits: they are sent to the
-    chunks, whose texts then need no shuffle.
+    outgrows ``k``. Hits of other queries are left out first; whether the others
+    are small enough to be sent to the chunks is for adaptive execution to see.
     """
     keys = hits.filter(F.col("rank") <= k).select(query_id, vector_id, "rank")
-    if queries.select(query_id).limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES:
-        keys = F.broadcast(keys)
+    keys = keys.join(queries.select(query_id).distinct(), query_id, "left_semi")
     found = chunks.select(vector_id, F.col(text).alias("_text")).join(keys, vector_id)
     ordered = F.array_sort(F.collect_list(F.struct("rank", "_text")))
     contexts = found.groupBy(query_id).agg(

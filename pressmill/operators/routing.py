@@ -156,9 +156,14 @@ def unfetched_route(url: Column, skipped: list[str] = SKIPPED_DOMAINS) -> Column
 def merge_routes(
     routed: DataFrame, rendered: DataFrame, url: str = "url", html: str = "html"
 ) -> DataFrame:
-    """Complete pages together with those completed by the second fetch.
+    """Complete pages together with those completed by the second fetch, in one pass.
 
-    Only the pages that wait are shuffled; the routing runs once per branch.
+    A page that waits looks for its url, any other for a key no url can be, all
+    different, so that they don't meet in one task.
     """
-    complete, waiting = split_routes(routed)
-    return complete.unionByName(with_second_fetch(waiting, rendered, url, html))
+    waits = F.col("route") == NEEDS_SCRIPT
+    sought = F.when(waits, F.col(url)).otherwise(F.concat(F.lit("\n"), F.col(url)))
+    second = _per_url(rendered.filter(~F.col(url).startswith("\n")), url, html).withColumnRenamed(url, "_sought")
+    merged = routed.filter("route is not null").withColumn("_sought", sought).join(second, "_sought", "left")
+    content = F.when(waits, F.coalesce("_rendered", F.lit(""))).otherwise(F.col("content"))
+    return merged.withColumn("content", content).drop("_sought", "_rendered")

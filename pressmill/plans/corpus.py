@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.operators.extraction import extract_articles, list_issues
-from pressmill.operators.incremental import skip_existing_issues
+from pressmill.operators.incremental import first_by_key, skip_existing_issues
 from pressmill.operators.markdown import with_markdown
 from pressmill.operators.routing import complete_pages, unfetched_route
 from pressmill.session import frozen
 
-ISSUE_LIMIT = 50
+ISSUE_LIMIT = 0  # all issues of an index page
 
 
 def new_issues(
@@ -28,21 +28,27 @@ def new_issues(
 
 
 def issue_articles(issues: DataFrame, landed: DataFrame) -> DataFrame:
-    """Articles of the issues whose page has landed."""
-    pages = landed.select(F.col("url"), F.col("html"))
+    """Articles of the issues whose page has landed.
+
+    An issue that several index pages list is taken from one of them, a page that
+    landed several times from one copy, each by the least hash.
+    """
+    issues = first_by_key(issues.filter("num is not null"), ["num"])
+    pages = landed.select("url", "html").join(issues.select("url").distinct(), "url", "left_semi")
+    pages = first_by_key(pages, ["url"])
     return extract_articles(issues.select("num", "url", "item_of").join(pages, "url").drop("url"))
 
 
 def article_markdown(articles: DataFrame, landed: DataFrame, rendered: DataFrame) -> DataFrame:
     """Articles with the Markdown of their landed page or its rendered second copy.
 
-    ``landed`` holds one row per url. Pages are routed and converted by url, only
+    Of a url that landed several times one page is taken. Pages are routed and converted by url, only
     those an article asks for, and the Markdown, not the page, is joined to the
     articles: one that many articles link to is converted once, and the articles
     are the side of the last join that adaptive execution may split.
     """
     asked = articles.select("url").distinct()
-    wanted = landed.select("url", "html").join(asked, "url", "left_semi")
+    wanted = first_by_key(landed.select("url", "html").join(asked, "url", "left_semi"), ["url"])
     again = rendered.select("url", "html").join(asked, "url", "left_semi")
     pages = with_markdown(complete_pages(wanted, again)).select("url", "route", "markdown")
     return articles.join(pages, "url", "left").withColumns(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions.vectors import DIMENSIONS
 from pressmill.operators.chunking import CHUNK_SIZE, OVERLAP, split_documents
-from pressmill.operators.incremental import skip_stored_chunks
+from pressmill.operators.incremental import first_by_key, skip_stored_chunks
 from pressmill.operators.vectors import embed
 from pressmill.sources.tables import read_table, within_range
 
@@ -31,8 +31,10 @@ def index_documents(
 def append_documents(documents: DataFrame, path: str, **cut) -> None:
     """Add the chunks of documents to a vector table, each once.
 
-    What is stored is left out by key before any vector is made.
+    Of documents with one path one is cut, so that no chunks of two texts mix;
+    what is stored is left out by key before any vector is made.
     """
+    documents = first_by_key(documents.filter("path is not null"), ["path"])
     stored = within_range(read_table(documents.sparkSession, path), documents)
     chunks = split_documents(documents, "text", **cut)
     fresh = with_chunk_id(skip_stored_chunks(chunks, stored))

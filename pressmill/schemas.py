@@ -6,45 +6,6 @@ POSITION = T.StructType(
     [T.StructField("current", T.IntegerType()), T.StructField("total", T.IntegerType())]
 )
 
-ISSUE = T.StructType(
-    [
-        T.StructField("num", T.IntegerType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("date", T.DateType()),
-        T.StructField("item_of", POSITION),
-    ]
-)
-
-ARTICLE = T.StructType(
-    [
-        T.StructField("title", T.StringType()),
-        T.StructField("url", T.StringType()),
-        T.StructField("issue_num", T.IntegerType()),
-        T.StructField("reading_time", T.IntegerType()),
-        T.StructField("summary", T.StringType()),
-        T.StructField("html", T.StringType()),
-        T.StructField("markdown", T.StringType()),
-        T.StructField("item_of", POSITION),
-        T.StructField("parent_item_of", POSITION),
-    ]
-)
-
-RESPONSE = T.StructType(
-    [
-        T.StructField("url", T.StringType()),
-        T.StructField("status", T.IntegerType()),
-        T.StructField("headers", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("body", T.BinaryType()),
-    ]
-)
-
-DOCUMENT = T.StructType(
-    [
-        T.StructField(name, T.StringType())
-        for name in ("path", "title", "source_url", "reading_time", "summary", "text")
-    ]
-)
-
 PAGE = T.StructType(
     [
         T.StructField("page_id", T.LongType()),

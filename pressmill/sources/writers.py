@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.operators.incremental import skip_stored_chunks
+from pressmill.operators.incremental import first_by_key, skip_stored_chunks
 from pressmill.operators.markdown import with_article_text
 from pressmill.sources.tables import read_table, within_range
 
@@ -15,9 +15,11 @@ def save_articles(articles: DataFrame, path: str) -> None:
 
     The folders of the issues that are written are replaced, all others stay,
     so the input must hold every article of an issue it touches. The rebalance
-    hint sizes the files and splits an issue that is large by itself.
+    hint sizes the files and splits an issue that is large by itself. Of articles
+    with one path one is written.
     """
     rows = with_article_text(articles).select("path", "text", "title", "url", "issue_num")
+    rows = first_by_key(rows, ["path"])
     (
         rows.hint("rebalance", "issue_num")
         .write.mode("overwrite")
@@ -33,12 +35,12 @@ def append_vectors(vectors: DataFrame, path: str) -> None:
     skip_stored_chunks(vectors, stored).write.mode("append").parquet(path)
 
 
-def save_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write a batch under its number; a batch that is run again replaces itself."""
+def save_batch(df: DataFrame, path: str, batch_id: int, run: str) -> None:
+    """Write a batch under its run and number; a batch that is run again replaces itself alone."""
     (
-        df.withColumn("batch_id", F.lit(batch_id))
+        df.withColumns({"run": F.lit(run), "batch_id": F.lit(batch_id)})
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch_id")
+        .partitionBy("run", "batch_id")
         .parquet(path)
     )

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pressmill.operators.extraction import extract_articles
-from pressmill.operators.incremental import skip_existing_issues
+from pressmill.operators.incremental import first_by_key, skip_existing_issues
 from pressmill.operators.markdown import with_markdown
 from pressmill.operators.nearest import K
 from pressmill.operators.politeness import PERIOD_MICROS, schedule
@@ -31,6 +31,11 @@ def read_stream(
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
 
 
+def _run(rows: DataFrame) -> str:
+    """The id of the running query, which its checkpoint keeps over restarts."""
+    return rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+
+
 def _start(writer, checkpoint: str) -> StreamingQuery:
     return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -53,13 +58,17 @@ def stream_index(documents: DataFrame, table: str, checkpoint: str, **cut) -> St
 def stream_answers(
     queries: DataFrame, table: str, out: str, checkpoint: str, k: int = K
 ) -> StreamingQuery:
-    """Prompts for questions as they come, against the table as it stands."""
+    """Prompts for questions as they come, against the table as it stands.
+
+    Batches lie under the run of their checkpoint, so a new one adds to what
+    earlier ones left.
+    """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
         index = read_table(rows.sparkSession, table)
         if index is None:
             raise ValueError(f"no vector table at {table}")
-        save_batch(ask(rows, index, k), out, batch_id)
+        save_batch(ask(rows, index, k), out, batch_id, _run(rows))
 
     return _start(queries.writeStream.foreachBatch(batch), checkpoint)
 
@@ -74,7 +83,7 @@ def stream_issues(
         if stored is not None:
             rows = skip_existing_issues(rows, stored, force_all=force_all)
         # a batch may hold the page of an issue twice
-        articles = extract_articles(rows.dropDuplicates(["num"])).withColumn("markdown", F.lit(""))
+        articles = extract_articles(first_by_key(rows, ["num"])).withColumn("markdown", F.lit(""))
         save_articles(articles, table)
 
     return _start(issues.writeStream.foreachBatch(batch), checkpoint)
@@ -85,20 +94,26 @@ def stream_schedule(
 ) -> StreamingQuery:
     """Slots for requests as they come; the last slot of each domain is kept.
 
-    The state is written whole under each batch's number, from the state the
-    batch before left.
+    The state is written whole under each batch's run and number, from the state
+    the batch before left. Where there is none, as on the first batch of a
+    checkpoint or behind empty ones, the last slots of all other batches count,
+    so that a new checkpoint goes on from what earlier ones gave out.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        last = read_table(rows.sparkSession, f"{state}/batch_id={batch_id - 1}")
+        spark, run = rows.sparkSession, _run(rows)
+        here = f"run={run}/batch_id={batch_id}"
+        if rows.isEmpty():
+            return
+        last = read_table(spark, f"{state}/run={run}/batch_id={batch_id - 1}")
+        if last is None and (earlier := read_table(spark, state)) is not None:
+            own = (F.col("run") == run) & (F.col("batch_id") >= batch_id)
+            last = earlier.filter(~own)
+        last = last.groupBy("domain").agg(F.max("slot").alias("slot")) if last is not None else None
         slots = schedule(rows, period=period, last_slots=last)
-        save_batch(slots, out, batch_id)
-        given = (
-            rows.sparkSession.read.parquet(out)
-            .filter(F.col("batch_id") == batch_id)
-            .select("domain", "slot")
-        )
+        save_batch(slots, out, batch_id, run)
+        given = spark.read.schema(slots.schema).parquet(f"{out}/{here}").select("domain", "slot")
         known = given if last is None else given.unionByName(last)
-        save_batch(known.groupBy("domain").agg(F.max("slot").alias("slot")), state, batch_id)
+        save_batch(known.groupBy("domain").agg(F.max("slot").alias("slot")), state, batch_id, run)
 
     return _start(requests.writeStream.foreachBatch(batch), checkpoint)

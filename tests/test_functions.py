@@ -16,18 +16,17 @@ from pressmill.functions.markdown import (
 )
 
 
-DOMAINS = [
-    ("https://www.paper.org/a/b", "paper.org"),
-    ("http://daily.paper.org/a", "paper.org"),
-    ("https://paper.org/", "paper.org"),
-    ("https://x.y.daily.paper.org", "paper.org"),
-    ("https://paper.co.uk/a", "co.uk"),
-    ("www.paper.org/a", "unknown"),
-    ("nothing", "unknown"),
-    ("", "unknown"),
-    ("https://10.0.0.1/a", "unknown"),
-    ("https://paper.org:8443/a", "paper.org"),
-    ("https://Paper.Org/a", "Paper.Org"),
+DOMAINS = [  # rule of P1: the last two labels, the last at least two signs and opening with a letter
+    ("ftp://files.harbour.net/x", "unknown"),
+    ("https://harbour.n2/x", "harbour.n2"),
+    ("https://harbour.2n/x", "unknown"),
+    ("https://harbour.n/x", "unknown"),
+    ("http://harbour.net?q=1", "harbour.net?q=1"),
+    ("see https://harbour.net/x", "harbour.net"),
+    ("https://tide.harbour.net:90/", "harbour.net"),
+    ("https://a.b.c.d.harbour.travel/", "harbour.travel"),
+    ("https://HARBOUR.Net", "HARBOUR.Net"),
+    ("https:///x", "unknown"),
 ]
 
 
@@ -164,14 +163,9 @@ def test_content_type(spark, headers, body, kind):
 
 
 PAGES = [
-    ("<h1>Weekly</h1><p>One plain paragraph</p>", "# Weekly\n\nOne plain paragraph"),
-    ("<div><h2>Part</h2><p>It is <strong>bold</strong></p></div>", "## Part\n\nIt is **bold**"),
-    ("<article><ul><li>One</li><li>Two</li></ul></article>", "- One\n- Two"),
-    (
-        "\n <div>\n <h2>Part</h2>\n <div>\n <p>An <em>odd</em> text</p>\n <ul>\n <li>A <b>bold</b> point</li>\n </ul></div></div>",
-        "## Part\n\nAn *odd* text\n\n- A **bold** point",
-    ),
-    ("<h1>T</h1>\n<div class='post'>\n  <p>One</p>\n  <p>Two</p>\n</div>", "# T\n\nOne\n\nTwo"),
+    ("<h4>Low tide</h4>text<h6>deep</h6>", "#### Low tide\n\ntext\n\n###### deep"),
+    ("<section><p>boats<i>and</i>nets</p></section>", "boats*and*nets"),
+    ("<ul><li><em>hull</em></li></ul><p>keel</p>", "- *hull*\n\nkeel"),
     ("<p>a*b_c</p>", "a\\*b\\_c"),
     ("<p>x &amp;lt; &eacute;&#8217;&#x41;</p>", "x &lt; é’A"),
     ("<p><a href='http://a.b/c' title='T'> go <b>on</b></a>!</p>", "[go **on**](http://a.b/c \"T\")!"),
@@ -213,15 +207,21 @@ def test_entities_are_decoded_once(one):
     assert one(decode_entities, "&amp;lt; &nope; &#0; & &copy;") == "&lt; &nope; � & ©"
 
 
-TEXTS = [
-    ("Follow us there\nWords", "Words"),
-    ("[Facebook](https://facebook.com/p)\nWords", "Words"),
-    ("- [Start](/)\n- [Team](/team)\nWords", "Words"),
-    ("By A. Nother\nPublished on Monday\nWords", "Words"),
-    ("5 min read\n10 minutes read\nWords", "Words"),
-    ("# \n\nWords\n#", "Words"),
-    ("One\n\n\n\nTwo", "One\n\nTwo"),
-    ("One\n---\nTwo", "One\nTwo"),
+TEXTS = [  # a hit and a near miss for every alternative of the line rules
+    *[(f"{verb} our boat\nKeel", "Keel") for verb in ("Register", "Log in", "SIGN UP", "subscribe", "Tweet", "Like", "share", " Follow", "Sign in")],
+    *[(f"Do {verb}\nKeel", f"Do {verb}\nKeel") for verb in ("register", "follow", "share")],
+    *[(f"[{name} page](https://h.net/{name})\nKeel", "Keel") for name in ("Pinterest", "GitHub", "YouTube", "Instagram", "LinkedIn", "Twitter")],
+    ("[Mastodon](https://h.net/m)\nKeel", "[Mastodon](https://h.net/m)\nKeel"),
+    ("[GitHub](ftp://h.net)\nKeel", "[GitHub](ftp://h.net)\nKeel"),
+    ("- [Quay](/quay) and more\nKeel", "Keel"),
+    ("- Quay\nKeel", "- Quay\nKeel"),
+    *[(f"{label} the crew\nKeel", "Keel") for label in ("Author", "written BY", "Published on", "by")],
+    ("Published at sea\nKeel", "Published at sea\nKeel"),
+    ("12min read\n7 mins read\n1 minute  read\nKeel", "Keel"),
+    ("12 hours read\nKeel", "12 hours read\nKeel"),
+    ("___\nKeel\n——————\n-_-", "Keel"),
+    ("--\nKeel", "--\nKeel"),
+    ("###\nKeel\n\n\n\n\n\nMast", "Keel\n\nMast"),
     ("# H\ntext", "# H\n\ntext"),
     ("# A\n# B\ntext", "# A\n\n# B\n\ntext"),
     ("see [this]( ) now", "see this now"),
@@ -248,16 +248,24 @@ def test_second_cleaning_sees_what_the_first_left(one):
     assert one(lambda c: clean_markdown(clean_markdown(c)), "[Share]( )") == ""
 
 
-OPENINGS = [
-    ("Main menu", True),
-    ("Skip to text", True),
-    ("Navigation bar", True),
-    ("search here", True),
-    ("Home", True),
-    ("Home page", False),
-    ("Contact", True),
-    ("On navigation", False),
-    ("Navigate", False),
+OPENINGS = [  # a hit and a near miss for every opening
+    ("go to the quay", True),
+    ("going to the quay", False),
+    ("About", True),
+    ("About boats", False),
+    ("MENU of the day", True),
+    ("menus", False),
+    ("skip to", True),
+    ("skip too", False),
+    ("contact: crew", True),
+    ("contacts", False),
+    ("search", True),
+    ("research", False),
+    ("home\n", True),
+    ("home\n\n", False),
+    ("navigation", True),
+    ("main menus", False),
+    ("Main menu.", True),
 ]
 
 

@@ -359,3 +359,23 @@ def test_counts(spark):
     same, seen = reports.observed(df, "load")
     same.write.format("noop").mode("overwrite").save()
     assert seen.get == {"rows": 3}
+
+
+def test_bad_vectors_are_left_out(spark):
+    nan, inf = float("nan"), float("inf")
+    stored = [(n, [float(n), 0.0, 0.0, 0.0]) for n in range(30)]
+    bad = [(100, [nan, 0.0, 0.0, 0.0]), (101, [0.0, None, 0.0, 0.0]), (102, [0.0, 0.0, 0.0]), (103, [0.0] * 5), (104, None), (105, []), (106, [inf, 0.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(bad[:4] + stored + bad[4:], "vec_id long, embedding array<double>").coalesce(1)
+    asked = [(1, [4.2, 0.0, 0.0, 0.0]), (2, [nan] * 4), (3, [1.0]), (4, None), (5, [20.0, 0.0, None, 0.0])]
+    queries = spark.createDataFrame(asked, "query_id long, query_vec array<double>")
+    for search in (nearest.nearest, nearest.nearest_by_cells):
+        rows = search(queries, vectors, 2).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in rows) == [(1, 1, 4), (1, 2, 5)]
+
+
+def test_one_chunk_per_key_whatever_the_run(spark):
+    rows = [("p", 1, "b"), ("p", 1, "a"), ("p", 2, "c"), (None, 1, "d"), ("q", 1, "e")]
+    chunks = spark.createDataFrame(rows, "path string, chunk_no int, text string")
+    stored = chunks.filter("path = 'q'")
+    found = {tuple(sorted(map(tuple, incremental.skip_stored_chunks(chunks.repartition(n), stored).collect()))) for n in (1, 3, 7)}
+    assert len(found) == 1 and [r[:2] for r in found.pop()] == [("p", 1), ("p", 2)]
