@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill.functions.text import let, strip, sub
 
@@ -18,6 +20,7 @@ ASCII_LABELS = ["us-ascii", "ascii"]
 CP1252_LABELS = ["windows-1252", "cp1252"]
 LATIN9_LABELS = ["iso-8859-15", "latin-9", "latin9"]
 UTF16_LABELS = ["utf-16le", "utf-16be"]
+NATIVE_LABELS = UTF8_LABELS + LATIN1_LABELS + ASCII_LABELS + CP1252_LABELS + LATIN9_LABELS
 CP1252_FROM = "".join(chr(c) for c in range(0x80, 0xA0) if c not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
 CP1252_TO = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 LATIN9_FROM = "¤¦¨´¸¼½¾"
@@ -50,25 +53,42 @@ def lenient_utf8(body: Column) -> Column:
 def decode_body(body: Column, charset: Column) -> Column:
     """Text of a body under its declared charset.
 
-    A missing or Latin-1 label, which servers send when they do not know, and
-    any label outside the closed list are read as UTF-8.
+    A missing label and ISO-8859-1, which servers send when they do not know, are
+    read as UTF-8. Single-byte families that differ from Latin-1 by a few signs are
+    translated; any other label is a codec of Python's, asked in Arrow batches for
+    the rows that declare one. Damaged units are replaced one by one; a label no
+    codec knows is read as UTF-8.
     """
+    other = charset.isNotNull() & ~charset.isin(*NATIVE_LABELS)
+    coded = by_codec(F.when(other, body), F.when(other, charset))
     latin1 = F.decode(body, "ISO-8859-1")
     cp1252 = F.translate(sub(latin1, "[\x81\x8d\x8f\x90\x9d]", REPLACEMENT), CP1252_FROM, CP1252_TO)
-    whole_units = F.octet_length(body) % 2 == 0
-    big = whole_units & F.hex(body).rlike(r"\A(?:D[89AB]..D[C-F]..|[^D]...|D[0-7]..)*+\z")
-    little = whole_units & F.hex(body).rlike(r"\A(?:..D[89AB]..D[C-F]|..[^D].|..D[0-7])*+\z")
     return (
         F.when(charset.isin(*LATIN1_LABELS), latin1)
         .when(charset.isin(*CP1252_LABELS), cp1252)
         .when(charset.isin(*LATIN9_LABELS), F.translate(latin1, LATIN9_FROM, LATIN9_TO))
         .when(charset.isin(*ASCII_LABELS), sub(latin1, "[\x80-\xff]", REPLACEMENT))
-        .when((charset == "utf-16be") & big, F.decode(body, "UTF-16BE"))
-        .when((charset == "utf-16le") & little, F.decode(body, "UTF-16LE"))
+        .when(other, coded)
         .otherwise(valid_utf8(body))
     )
 
 
+@F.arrow_udf(T.StringType())
+def by_codec(body: pa.Array, charset: pa.Array) -> pa.Array:
+    """Text of bytes under the codec of that name, with replacement characters; UTF-8 where there is none."""
+    texts = []
+    for data, label in zip(body.to_pylist(), charset.to_pylist(), strict=True):
+        if data is None or label is None:
+            texts.append(None)
+            continue
+        try:
+            text = data.decode(label, errors="replace")
+        except (LookupError, UnicodeError, ValueError):
+            text = data.decode("utf-8", errors="replace")
+        texts.append(text.encode("utf-8", "replace").decode("utf-8") if isinstance(text, str) else None)
+    return pa.array(texts, pa.string())
+
+
 def compression(body: Column) -> Column:
     """Kind of compression the first bytes tell of, or NULL."""
 

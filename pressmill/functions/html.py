@@ -1,16 +1,21 @@
-"""HTML to Markdown with built-in expressions.
-
-The text is cut into units (tags, text runs, and whole ``pre``, ``code`` and
-``a`` elements), each unit is rewritten by itself, and the joined result goes
-through a short chain of replacements. Elements that HTML leaves open are
-closed where their container ends. Elements nested in one of the same name are
-not told apart, which is the one place where this departs from a document tree.
+"""HTML to Markdown, mostly with built-in expressions.
+
+Elements that are left out go first: those nest, which patterns can't follow, so
+pages that have any are walked tag by tag in Arrow batches. Then the text is cut
+into units (tags, text runs, and whole ``pre``, ``code`` and ``a`` elements), each
+unit is rewritten by itself, and the joined result goes through a short chain of
+replacements. Elements that HTML leaves open are closed where their container
+ends. Among what is kept, elements nested in one of the same name are told apart
+for unordered lists only.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import re
+from collections import Counter
+from html.entities import html5, name2codepoint
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,12 +48,24 @@ DROPPED_CLASSES = [
     "subscription",
 ]
 DROPPED_ROLES = ["navigation", "complementary"]
-CONTAINERS = ["div", "section", "article", "main", "ul", "ol", "li", "p", "span", "table"]
+# Fixed values of HTML: elements without contents, and those that end where one of
+# the second list begins, up to the element of the third that holds them.
+EMPTY_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+ENDED_BY = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+}
 BLOCKS = (
     "h[1-6]|p|blockquote|article|div|section|ol|ul|li|dl|dt|dd|"
     "table|thead|tbody|tfoot|tr|td|th|pre"
 )
 
+TAGS = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+MARKED = re.compile(r"""(?i)(?<![^\s"'])(class|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
 # Private characters that stand for a tag between two steps.
 STRONG_OPEN, STRONG_CLOSE = "\ue000", "\ue001"
@@ -76,8 +93,8 @@ def open_tag(names: str) -> str:
 
 
 def _to_end(name: str) -> str:
-    """Rest of an element after ``<``; one that is never closed runs to the end."""
-    return rf"{_open(name)}.*?(?:{close_tag(name)}|\z)"
+    """Rest of an element after ``<``, unless it is self-closed; one that is never closed runs to the end."""
+    return rf"{name}(?:[\s/][^>]*)?(?<!/)>.*?(?:{close_tag(name)}|\z)"
 
 
 def _closed(name: str) -> str:
@@ -85,22 +102,13 @@ def _closed(name: str) -> str:
     return rf"{_open(name)}.*?{close_tag(name)}"
 
 
-def _marked_element(name: str) -> str:
-    """Rest of an element with a dropped class or role, after ``<``."""
-    classes, roles = "|".join(DROPPED_CLASSES), "|".join(DROPPED_ROLES)
-    marked = "|".join(
-        rf"class\s*=\s*{q}(?:[^{q}]*\s)?(?:{classes})(?:\s[^{q}]*)?{q}|role\s*=\s*{q}(?:{roles}){q}"
-        for q in "\"'"
-    )
-    return rf"{name}\s(?:[^>]*\s)?(?:{marked})[^>]*>.*?(?:{close_tag(name)}|\z)"
-
-
 # Each pattern opens with one plain character, which lets a scan skip quickly.
 REST_OF_TAG = r"/?[a-zA-Z][^>]*>|[!?][^>]*>"
 UNSEEN = "(?is)<(?:!--.*?-->|" + "|".join(_to_end(t) for t in ("script", "style")) + ")"
-DROPPED = "(?is)<(?:" + "|".join(
-    [_to_end(t) for t in DROPPED_TAGS] + [_marked_element(t) for t in CONTAINERS]
-) + ")"
+SEEN_LAST = re.compile(UNSEEN.replace(r"\z", r"\Z"))
+# References that HTML knows without a closing semicolon, long ones first.
+UNENDED = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+MAY_DROP = rf"(?i)<(?:{'|'.join(DROPPED_TAGS)})[\s/>]|[\s\"'](?:class|role)\s*=|<!--|<(?:script|style)"
 UNITS = "(?is)[^<]+|<(?:" + "|".join(_closed(t) for t in ("pre", "code", "a")) + f"|{REST_OF_TAG})|<"
 BLOCK_UNITS = "(?is)[^<]+|<(?:" + "|".join(
     _closed(t) for t in ("table", "ol", *(f"h{n}" for n in range(1, 7)))
@@ -143,9 +151,85 @@ def without_unseen(html: Column) -> Column:
     return sub(html, UNSEEN, "")
 
 
+def _is_dropped(name: str, rest: str) -> bool:
+    """Whether an element goes, by its tag or by a class or role."""
+    if name in DROPPED_TAGS:
+        return True
+    for key, *values in MARKED.findall(rest):
+        value = next((v for v in values if v), "").lower()
+        if key.lower() == "role" and value.strip() in DROPPED_ROLES:
+            return True
+        if key.lower() == "class" and not set(value.split()).isdisjoint(DROPPED_CLASSES):
+            return True
+    return False
+
+
+def drop_elements(html: str) -> str:
+    """A page without its unseen and dropped elements, by a walk over the tags with the open elements on a stack.
+
+    A closed-by-itself or empty element is its tag alone; an element ends with
+    the one it lies in, and where its kind can't go on; one never closed at the
+    top runs to the end.
+    """
+    html = SEEN_LAST.sub("", html)
+    kept: list[str] = []
+    open_: list[str] = []
+    held: Counter = Counter()
+    at, dropped = 0, None
+
+    def cut(depth: int) -> None:
+        while len(open_) > depth:
+            held[open_.pop()] -= 1
+
+    for tag in TAGS.finditer(html):
+        closing, name, rest = tag[1], (tag[2] or "").lower(), tag[3] or ""
+        if not name:
+            continue
+        if closing:
+            if not held[name]:
+                continue
+            depth = len(open_) - 1 - open_[::-1].index(name)
+            cut(depth)
+            if dropped is not None and depth <= dropped:
+                at = tag.end() if depth == dropped else tag.start()
+                dropped = None
+            continue
+        if name in ENDED_BY:
+            ended, within = ENDED_BY[name]
+            depth = len(open_)
+            for place in range(len(open_) - 1, -1, -1):
+                if open_[place] in within:
+                    break
+                if open_[place] in ended:
+                    depth = place
+            cut(depth)
+            if dropped is not None and depth <= dropped:
+                at, dropped = tag.start(), None
+        alone = name in EMPTY_TAGS or rest.endswith("/")
+        if dropped is None and _is_dropped(name, rest):
+            kept.append(html[at : tag.start()])
+            if alone:
+                at = tag.end()
+                continue
+            dropped = len(open_)
+        if not alone:
+            open_.append(name)
+            held[name] += 1
+    if dropped is None:
+        kept.append(html[at:])
+    return "".join(kept)
+
+
+@F.arrow_udf(T.StringType())
+def without_dropped(html: pa.Array) -> pa.Array:
+    """``drop_elements`` of each page, in Arrow batches: nesting is beyond patterns."""
+    return pa.array([None if page is None else drop_elements(page) for page in html.to_pylist()], pa.string())
+
+
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, each decoded once."""
-    names = fixed_map({**{n: chr(c) for n, c in sorted(name2codepoint.items())}, "apos": "'"})
+    common = {n: chr(c) for n, c in sorted(name2codepoint.items())}
+    names = fixed_map(common | {n[:-1]: text for n, text in sorted(html5.items()) if n.endswith(";")})
 
     def character(code: Column) -> Column:
         usable = ((code > 0) & (code < 0xD800)) | ((code > 0xDFFF) & (code < 0x110000))
@@ -155,15 +239,18 @@ def decode_entities(text: Column) -> Column:
 
     def one(unit: Column) -> Column:
         name = F.btrim(unit, F.lit("&;"))
-        hexadecimal = F.conv(F.substring(name, 3, 8), 16, 10).cast("long")
+        digits = F.regexp_replace(name, r"\A#[xX]?0*", "")
+        short = F.length(digits) <= 7
+        decimal = F.when(short, F.concat(F.lit("0"), digits).try_cast("long")).otherwise(0)
+        hexadecimal = F.when(short, F.conv(F.concat(F.lit("0"), digits), 16, 10).cast("long")).otherwise(0)
         return (
             F.when(~unit.startswith("&"), unit)
-            .when(unit.rlike(r"\A&#[0-9]+;\z"), character(F.substring(name, 2, 9).cast("long")))
+            .when(unit.rlike(r"\A&#[0-9]+;\z"), character(decimal))
             .when(unit.rlike(r"\A&#[xX]"), character(hexadecimal))
             .otherwise(F.coalesce(F.try_element_at(names, name), unit))
         )
 
-    pattern = r"&#[0-9]{1,8};|&#[xX][0-9a-fA-F]{1,7};|&[a-zA-Z][a-zA-Z0-9]*;|[^&]+|&"
+    pattern = r"&#[0-9]+;|&#[xX][0-9a-fA-F]+;|&[a-zA-Z][a-zA-Z0-9]*;|" + f"&(?:{UNENDED})(?![=a-zA-Z0-9;])|[^&]+|&"
 
     def decoded(t: Column) -> Column:
         return F.array_join(F.transform(find_all(t, pattern), one), "")
@@ -424,8 +511,7 @@ def _items(text: Column) -> Column:
 
 def convert_html(html: Column) -> Column:
     """Markdown of a page before it is cleaned."""
-    out = without_unseen(html)
-    out = sub(out, DROPPED, "")
+    out = F.coalesce(without_dropped(F.when(html.rlike(MAY_DROP), html)), html)
     out = F.array_join(F.transform(find_all(out, UNITS), _unit), "")
     out = sub(out, rf"(?i){GAP}*(</?(?:{BLOCKS})(?:[\s/][^>]*)?>){GAP}*", "$1")
     out = F.array_join(F.transform(find_all(out, BLOCK_UNITS), _block), "")

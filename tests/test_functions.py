@@ -130,7 +130,19 @@ def test_score_of_a_flawless_page(spark):
         (b"\xe9", "latin1", "é"),
         ("né".encode("utf-16-le"), "utf-16le", "né"),
         ("n\U0001f600".encode("utf-16-be"), "utf-16be", "n\U0001f600"),
-        (b"abc", "utf-16be", "abc"),
+        (b"\x00a\x00b\x00", "utf-16be", "ab\ufffd"),
+        (b"\xd8\x00\x00a", "utf-16be", "\ufffda"),
+        ("n\u00e9".encode("utf-16"), "utf-16", "n\u00e9"),
+        ("Привет".encode("cp1251"), "windows-1251", "Привет"),
+        ("Привет".encode("koi8-r"), "koi8-r", "Привет"),
+        ("zażółć".encode("iso-8859-2"), "iso-8859-2", "zażółć"),
+        ("ğış".encode("iso-8859-9"), "iso-8859-9", "ğış"),
+        ("日本".encode("shift_jis") + b"\xff", "shift_jis", "日本\ufffd"),
+        ("日本".encode("euc-jp"), "euc-jp", "日本"),
+        ("한글".encode("euc-kr"), "euc-kr", "한글"),
+        ("汉字".encode("gb18030"), "gb18030", "汉字"),
+        ("漢字".encode("big5"), "big5", "漢字"),
+        (b"a\xc3", "base64", "a\ufffd"),
         (b"a\xffb", "klingon", "a�b"),
     ],
 )
@@ -185,6 +197,17 @@ PAGES = [
     ("<div class='big sidebar'>no</div><div class='ad'>yes</div>", "yes"),
     ("<div role='navigation'>no</div>yes", "yes"),
     ("<nav>n</nav><header>h</header><main><h1>M</h1><p>t</p></main><footer>f", "# M\n\nt"),
+    # what is dropped may nest, close itself, stay open, and be any element
+    ("<p>bow</p><iframe src='x'/><p>stern</p><svg a='b'/><script src='y'/><p>keel</p>", "bow\n\nstern\n\nkeel"),
+    ("<ul><li class='nav'>n<li>rope</ul><p>tail</p>", "- rope\n\ntail"),
+    ("<div class='sidebar'><div>inner</div><p>leak</p></div><p>body</p>", "body"),
+    ("<nav>a<nav>b</nav>c</nav><p>d</p>", "d"),
+    ("<h2 class='ads'>Ad</h2><h2>Log</h2>", "## Log"),
+    ("<div class=sidebar>no</div><div role=navigation>no</div><p>yes</p>", "yes"),
+    ("<section><aside>never closed</section><p>yes</p>", "yes"),
+    ("<p>yes</p><footer>open to the end", "yes"),
+    ("<input class='nav'><p>yes</p><br class='ads'/>so", "yes\n\nso"),
+    ("<table><tr><td class='ads'>x</td><td>y</td></tr></table>", "|  |\n| --- |\n| y |"),
     ("<script>x='</p><nav>'</script><p>t</p><!-- <p>no</p> -->", "t"),
     ("<article><p><b>one<br><p>two</p></article>after", "**one\n\ntwo**\n\nafter"),
     ("<div><p><b>one</p><p>two</p></div>", "**one**\n\ntwo"),
@@ -205,6 +228,8 @@ def test_html_to_markdown(each):
 
 def test_entities_are_decoded_once(one):
     assert one(decode_entities, "&amp;lt; &nope; &#0; & &copy;") == "&lt; &nope; � & ©"
+    assert one(decode_entities, "&#0000000065; &#x00000000041; &#99999999999; &lsqb; &NotEqualTilde;") == "A A � [ ≂̸"
+    assert one(decode_entities, "&copy 2024 &lt&copy=1 &section") == "© 2024 <&copy=1 &section"
 
 
 TEXTS = [  # a hit and a near miss for every alternative of the line rules
