@@ -171,6 +171,29 @@ def test_stream_schedule_keeps_the_last_slot(spark, tmp_path):
     assert land(("a", 2, 4), ("b", 50, 5)) == {1: 0, 2: 10, 3: 5, 6: 1, 4: 20, 5: 50}
 
 
+def test_streams_go_on_under_a_new_checkpoint(spark, tmp_path):
+    """Neither slots nor answers of an earlier checkpoint are lost, and empty files stop nothing."""
+    schema = "domain string, at_micros long, request_id long"
+
+    def land(log, *rows):
+        spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = jobs.read_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)
+        jobs.stream_schedule(stream, *[str(tmp_path / n) for n in ("out", "state", log)], 10).awaitTermination()
+
+    def slots():
+        rows = spark.read.parquet(str(tmp_path / "out")).collect()
+        return sorted((r.request_id, r.slot) for r in rows)
+
+    land("one")  # a landed file without rows
+    land("one", ("a", 0, 1), ("a", 0, 2))
+    land("one")
+    land("one", ("a", 0, 3))
+    assert slots() == [(1, 0), (2, 10), (3, 20)]
+    land("two", ("b", 7, 4))
+    # the new checkpoint reads all files again and gives out further slots
+    assert slots() == [(1, 0), (1, 30), (2, 10), (2, 40), (3, 20), (3, 50), (4, 7)]
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
