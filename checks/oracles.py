@@ -226,6 +226,37 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d, 6) AS distance
       ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank
   FROM embeddings a CROSS JOIN embeddings b) WHERE rank <= 4"""
 
+# The 32 vectors with the least digest of their id are pivots, in the order of their
+# elements; a query looks into the cells of its eight nearest.
+APPROXIMATE = """
+WITH points AS (
+  SELECT row_number() OVER (ORDER BY v) AS cell, v FROM (
+    SELECT DISTINCT embedding::DOUBLE[] AS v FROM (SELECT embedding FROM embeddings ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 32))),
+away AS (
+  SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], v), cell) AS place
+  FROM embeddings CROSS JOIN points)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM (
+  SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d,
+    row_number() OVER (PARTITION BY a.vec_id
+      ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) AS rank
+  FROM embeddings a JOIN away p ON p.vec_id = a.vec_id AND p.place <= 8
+    JOIN away c ON c.cell = p.cell AND c.place = 1 JOIN embeddings b ON b.vec_id = c.vec_id) WHERE rank <= 4"""
+
+DIRTY_NEIGHBOURS = f"""
+WITH embeddings AS (SELECT * FROM main.embeddings WHERE vec_id % 10 NOT IN (3, 5, 7, 9)) {NEIGHBOURS}"""
+
+DIRTY_PAGES = """
+SELECT doc_id, md5('Zq ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || chr(10) || chr(10)
+  || 'see [link ' || doc_id || '](http://h.net/' || doc_id || ') and ![pic](' || doc_id || '.png)' || chr(10) || chr(10)
+  || '- one ' || doc_id || chr(10) || '- two' || chr(10) || chr(10)
+  || '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | x + [ |') AS markdown_md5
+FROM documents"""
+
+ARTICLE_FILES = """
+SELECT 'issue-' || doc_id // 16 || '/article-' || doc_id || '.md' AS path,
+  md5(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS text_md5
+FROM documents"""
+
 ISSUES = """
 SELECT o_orderkey // 50 AS page_no, CAST(o_orderkey AS INTEGER) AS num,
   CASE WHEN o_orderkey % 3 = 2 THEN 'http://other.example.org/i/' ELSE 'https://news.example.com/issues/' END || o_orderkey AS url,
@@ -371,6 +402,10 @@ WITH named AS (SELECT printf('d%08d', doc_id) AS path, text FROM documents),
 SELECT k AS path, b AS bucket, round(CAST(w AS DOUBLE), 6) AS weight FROM made_weights""",
         "nearest_vectors": NEIGHBOURS,
         "nearest_by_cells": NEIGHBOURS,
+        "nearest_approximate": APPROXIMATE,
+        "nearest_dirty": DIRTY_NEIGHBOURS,
+        "dirty_page_markdown": DIRTY_PAGES,
+        "article_files": ARTICLE_FILES,
         "question_prompts": PROMPTS,
         "run_counts": f"""
 SELECT 'chunks' AS stage, path AS item, count(*) AS n FROM ({chunk_select}) GROUP BY ALL

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions import bodies as body_functions
 from pressmill.functions import quality, urls
+from pressmill.functions.html import html_to_markdown
 from pressmill.functions.markdown import is_navigation, is_noise_line
 from pressmill.functions.text import explode_positions
 from pressmill.operators import (
@@ -31,7 +32,7 @@ from pressmill.operators import (
 from pressmill.plans import ask, corpus, index
 from pressmill.schemas import PAGE
 from pressmill.session import shared_dir
-from pressmill.sources import tables, writers
+from pressmill.sources import files, tables, writers
 from pressmill.streaming import jobs
 
 SKIPPED = ["example.net"]
@@ -469,6 +470,43 @@ def nearest_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir, nearest.nearest_by_cells, pivots=32, probes=8)
 
 
+def nearest_dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides hold vectors with NaN, with NULL and cut short, which have and are no neighbours."""
+    embedding = F.col("embedding")
+    bad = (
+        F.when(F.col("vec_id") % 10 == 3, F.transform(embedding, lambda x, n: F.when(n == 5, float("nan")).otherwise(x)))
+        .when(F.col("vec_id") % 10 == 5, F.transform(embedding, lambda x, n: F.when(n != 0, x)))
+        .when(F.col("vec_id") % 10 == 7, F.slice(embedding, 1, 40))
+        .when(F.col("vec_id") % 10 != 9, embedding)
+    )
+    stored = table(spark, sf_dir, "embeddings").select("vec_id", bad.cast("array<float>").alias("embedding"))
+    asked = stored.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return nearest.nearest(asked, stored).select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+def dirty_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages around the words of every document, with nested, open and self-closed elements to drop."""
+    words = F.trim(F.regexp_replace("text", "[^A-Za-z]+", " "))
+    number = F.col("doc_id").cast("string")
+    html = F.concat(
+        F.lit("<div class=sidebar><div>in</div><p>leak</p></div><p>Zq "), words,
+        F.lit("</p><iframe src='x'/><nav>a<nav>b</nav>c</nav><p>see <a href='http://h.net/"), number,
+        F.lit("'>link "), number, F.lit("</a> and <img alt='pic' src='"), number,
+        F.lit(".png'></p><ul><li>one "), number, F.lit("</li><li class=\"x nav\">gone<li>two</ul><table><tr><th>A</th><th>B</th></tr><tr><td>"), number,
+        F.lit("</td><td>x &#0000043; &lsqb;</td></tr></table><h2 class='ads'>Ad</h2><footer>open "), words,
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(html_to_markdown(html)).alias("markdown_md5"))
+
+
+def article_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as files of issue folders, then listed and read."""
+    issue = (F.col("doc_id") / 16).cast("int")
+    paths = F.concat(F.lit("issue-"), issue.cast("string"), F.lit("/article-"), F.col("doc_id").cast("string"), F.lit(".md"))
+    folder = scratch(spark, "article-files")
+    files.write_article_files(table(spark, sf_dir, "documents").select(paths.alias("path"), "text"), folder)
+    return tables.load_documents(tables.list_article_files(spark, folder)).select("path", F.md5("text").alias("text_md5"))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
@@ -672,6 +710,9 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         nearest_vectors,
         nearest_by_cells,
         nearest_approximate,
+        nearest_dirty,
+        dirty_page_markdown,
+        article_files,
         question_prompts,
         run_counts,
         chat_answers,

@@ -51,8 +51,13 @@ def within_range(stored: DataFrame | None, rows: DataFrame, key: str = "path") -
 
 
 def list_article_files(spark: SparkSession, path: str) -> DataFrame:
-    """``path`` and ``text`` of the Markdown files in the ``issue-*`` folders."""
-    files = spark.read.text(f"{path}/issue-*", wholetext=True, pathGlobFilter="*.md")
+    """``path`` and ``text`` of the Markdown files in the ``issue-*`` folders; no rows where there are none."""
+    try:
+        files = spark.read.text(f"{path}/issue-*", wholetext=True, pathGlobFilter="*.md")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, text string")
     return files.select(
         F.regexp_extract("_metadata.file_path", r"issue-[^/]*/[^/]*\z", 0).alias("path"),
         sub(F.col("value"), r"\r\n?", "\n").alias("text"),
