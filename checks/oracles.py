@@ -419,6 +419,7 @@ SELECT conv_id, turn, role FROM conversations c WHERE NOT EXISTS (
     AND e.role = 'user' AND (e.conv_id * 7 + e.turn) % 5 = 2)""",
         "polite_schedule": SLOTS,
         "corpus_articles": CORPUS,
+        "corpus_repeated": CORPUS,
         "batch_markdown": LANDED_MARKDOWN,
         "stream_markdown": LANDED_MARKDOWN,
         "stream_index": chunk_select,
