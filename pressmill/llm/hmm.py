@@ -174,6 +174,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("count").alias("count"))
 
 
+def frequent_words(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
+    """The rows of at most ``most`` of the most frequent words.
+
+    Words fall into steps of an eighth of a doubling of their count, a few hundred
+    at most; the highest steps that fit are taken whole, so no task sends more than is kept.
+    """
+    step = F.floor(8 * F.log2(F.col("count").cast("double"))).cast("int")
+    held, least = 0, None
+    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+        held += row["words"]
+        if held > most:
+            break
+        least = row["step"]
+    return counts.filter(step >= least) if least is not None else counts.limit(0)
+
+
 @dataclass
 class Vocabulary:
     """What of the counts is sent to tasks: totals, the frequent words, and totals of the classes."""
@@ -187,8 +203,8 @@ class Vocabulary:
 
     @classmethod
     def of(cls, counts: DataFrame, documents: int) -> Vocabulary:
-        top = counts.orderBy(F.desc("count"), "word").limit(FREQUENT).collect()
-        frequent = {bytes(row["word"]): row["count"] for row in top}
+        top = sorted(((row["count"], bytes(row["word"])) for row in frequent_words(counts).collect()), key=lambda one: (-one[0], one[1]))
+        frequent = {word: count for count, word in top}
         own = set(list(frequent)[:OWN])
         schema = pa.schema([("class", pa.int32()), ("tokens", pa.int64()), ("words", pa.int64())])
 
@@ -293,11 +309,16 @@ def baum_welch_round(coded: DataFrame, model: Hmm, shares: np.ndarray) -> Hmm:
 
 
 def trained(coded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Hmm:
-    """The model of the training rows. A bounded sample, the rows with the least hash, tells the states apart first."""
+    """The model of the training rows. A bounded sample of them, by a hash, tells the states apart first."""
     training = coded.filter(~F.col("held_out")).select("classes")
     shares = vocabulary.shares()
     model = Hmm.fresh(shares)
-    sample = [np.frombuffer(row.classes, "<u2") for row in training.orderBy(F.xxhash64("classes")).limit(SAMPLE_DOCUMENTS).collect()]
+    # a share of the hashes first, so that tasks send few rows; then no more than asked for
+    mixed = F.xxhash64("row_id")
+    share = int(min(1.0, 1.5 * SAMPLE_DOCUMENTS / max(1, vocabulary.documents)) * (1 << 63)) - 1
+    few = coded.filter(~F.col("held_out") & (mixed.bitwiseAND((1 << 63) - 1) <= share))
+    few = few.orderBy(mixed, "row_id").limit(SAMPLE_DOCUMENTS).select("classes").collect()
+    sample = [np.frombuffer(row.classes, "<u2") for row in few]
     if not sample:
         return model
     for _ in range(SAMPLE_ROUNDS):

@@ -90,3 +90,14 @@ def test_words_of_a_class_sum_to_one():
     logs = hmm.Vocabulary(1, 8, 3, {}, tokens, words).class_logs()
     known = sum(10 ** (math.log10(c + 1) - logs[number]) for c in counts.values())
     assert abs(known + 10 ** (0 - logs[number]) - 1) < 1e-12
+
+
+def test_frequent_words_are_bounded_and_whole_steps(spark):
+    rng = random.Random(8)
+    rows = [(f"w{n}".encode(), int(rng.paretovariate(0.6))) for n in range(3000)]
+    counts = spark.createDataFrame(rows, "word binary, count long")
+    for most in (0, 1, 50, 700, 10**6):
+        got = [r["count"] for r in hmm.frequent_words(counts, most).collect()]
+        rest = sorted(c for _, c in rows)[: len(rows) - len(got)]
+        assert len(got) <= most and (not rest or not got or max(rest) < min(got))
+    assert hmm.frequent_words(counts.limit(0)).collect() == []
