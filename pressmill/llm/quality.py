@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import crc_remainder, record_batch
+from pressmill.llm.common import crc_remainder, frozen, record_batch
 
 BUCKETS = 1 << 18
 DIMENSION = 16
@@ -122,7 +122,10 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarr
     text = F.col("text").cast("string")
     texts = docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("order"))
     chosen = texts.filter("text is not null").join(marked, "doc_id").select("doc_id", "order", "quality").distinct()
-    chosen = chosen.orderBy("order", "doc_id").limit(sample)
+    # a share of the hashes first, so that tasks send few rows; then no more than asked for
+    share = min(1.0, 1.5 * sample / max(1, marked.count()))
+    least = -(1 << 63) + int(share * ((1 << 64) - 1))
+    chosen = frozen(chosen.filter(F.col("order") <= least).orderBy("order", "doc_id").limit(sample))
     own = texts.join(chosen.select("doc_id", "order", "quality"), ["doc_id", "order"]).select("doc_id", "order", "quality", "text")
     schema = pa.schema([("order", pa.int64()), ("quality", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
