@@ -124,7 +124,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarr
     chosen = texts.filter("text is not null").join(marked, "doc_id").select("doc_id", "order", "quality").distinct()
     # a share of the hashes first, so that tasks send few rows; then no more than asked for
     share = min(1.0, 1.5 * sample / max(1, marked.count()))
-    least = -(1 << 63) + int(share * ((1 << 64) - 1))
+    least = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
     chosen = frozen(chosen.filter(F.col("order") <= least).orderBy("order", "doc_id").limit(sample))
     own = texts.join(chosen.select("doc_id", "order", "quality"), ["doc_id", "order"]).select("doc_id", "order", "quality", "text")
     schema = pa.schema([("order", pa.int64()), ("quality", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
