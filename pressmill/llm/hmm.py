@@ -36,7 +36,8 @@ ROUNDS = 2
 SAMPLE_DOCUMENTS, SAMPLE_ROUNDS = 300, 12
 SEGMENT = 512
 BATCH_TOKENS = 400_000
-FLUSH_WORDS = 300_000
+FLUSH_WORDS = 200_000
+ROWS_TOGETHER = 500  # the rare words of so many documents are held at once
 FOLDS, HELD_OUT = 7, 2
 CLASSES = 1 + OWN + SHARED
 END_CLASS = 0
@@ -257,12 +258,12 @@ def coded_documents(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         class Classes(dict):
             def __missing__(self, word: bytes) -> int:
                 number = shared_class(word)
-                if len(self) < 4 * FREQUENT:
+                if len(self) < 2 * FREQUENT:
                     self[word] = number
                 return number
 
         classes = Classes(own)
-        for batch in batches:
+        for batch in (batch.slice(at, ROWS_TOGETHER) for batch in batches for at in range(0, batch.num_rows, ROWS_TOGETHER)):
             rows = []
             for text in column_bytes(batch, "text"):
                 found = text.lower().split()
