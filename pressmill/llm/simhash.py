@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pressmill.llm import golay
 from pressmill.llm.common import column_bytes, fresh, frozen, record_batch
 from pressmill.llm.components import connected_components
+from pressmill.llm.similar import similar_links
 
 SHINGLE = 3
 SEED = 42
@@ -144,7 +145,7 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return met.unionByName(tied).distinct()
 
 
-def _members(docs: DataFrame, size: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+def _members(docs: DataFrame, size: int, crowd: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows with their fingerprints, and for each fingerprint the first row of its group."""
     rows = frozen(fingerprints(docs, size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
@@ -154,6 +155,8 @@ def _members(docs: DataFrame, size: int, crowd: int) -> tuple[DataFrame, DataFra
         "component", F.coalesce("component", "fingerprint")
     )
     held = frozen(held)
+    if wide:
+        held = frozen(_widened(docs, rows, held))
     firsts = held.groupBy("component").agg(F.min("first").alias("first"))
     return rows, held.select("fingerprint", "component").join(firsts, "component")
 
@@ -175,14 +178,28 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, crowd: int = CROWD) ->
     )
 
 
+def _widened(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
+    """The fingerprints with components that texts of alike shingles join."""
+    texts = docs.select(text_digest(F.col("text").cast("string")).alias("node"), F.col("text").cast("string").alias("text"))
+    found = similar_links(texts)
+    of = frozen(rows.select("digest", "fingerprint").distinct().join(held.select("fingerprint", "component"), "fingerprint").select("digest", "component"))
+    ends = [of.select(F.col("digest").alias(end), F.col("component").alias(f"{end}_part")) for end in "ab"]
+    edges = found.join(ends[0], "a").join(ends[1], "b").select("a_part", "b_part").distinct()
+    joined = connected_components(edges).select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    wider = held.join(joined, "component", "left")
+    return wider.withColumn("component", F.coalesce("wider", "component")).drop("wider")
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = SHINGLE, crowd: int = CROWD) -> DataFrame:
     """The rows of ``docs``, all columns, of which one stays per near-duplicate group.
 
+    Groups are those of fingerprints within two bits, joined where five-word
+    shingles are 0.8 or more alike (see ``similar``).
     The row with the least ``doc_id`` stays; rows without an id stay only where
     the group has none with one; of equal ids the text with the least digest
     stays, of repeated rows one.
     """
-    rows, groups = _members(docs, size, crowd)
+    rows, groups = _members(docs, size, crowd, wide=True)
     kept_id, kept_digest, digest = fresh(docs, "kept_id", "kept_digest", "digest")
     copies = rows.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("copies"))
     kept = groups.select("first.doc_id", "first.digest").distinct()
