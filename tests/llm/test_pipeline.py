@@ -44,11 +44,11 @@ def test_quality_goes_by_the_score(spark, stages):
 
 
 def test_one_of_each_group(stages):
-    from tests.llm.test_simhash import groups_by_hand
+    from tests.llm.test_simhash import wider_groups_by_hand
 
     before, after = rows(stages[1]), rows(stages[2])
     assert len(after) == len(set(after))
-    assert {d for d, _ in after if d is not None} == {c for _, _, c in groups_by_hand(before) if c is not None}
+    assert {d for d, _ in after if d is not None} == {c for _, _, c in wider_groups_by_hand(before) if c is not None}
 
 
 def test_no_passages(spark, stages):

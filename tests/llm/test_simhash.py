@@ -1,4 +1,5 @@
 import random
+import re
 
 import xxhash
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ def by_hand(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def groups_by_hand(rows):
+def groups_by_hand(rows, alike=lambda i, j: False):
     """Component id per row, comparing all pairs."""
     prints = [by_hand(text) for _, text in rows]
     parent = list(range(len(rows)))
@@ -26,7 +27,7 @@ def groups_by_hand(rows):
 
     for i in range(len(rows)):
         for j in range(i):
-            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+            if bin(prints[i] ^ prints[j]).count("1") <= 2 or alike(i, j):
                 parent[root(i)] = root(j)
     out = []
     for i, (doc_id, _) in enumerate(rows):
@@ -35,6 +36,20 @@ def groups_by_hand(rows):
     return sorted(out, key=repr)
 
 
+def wider_groups_by_hand(rows):
+    """The same with texts joined whose five-word shingles are 0.8 or more alike."""
+    bags = []
+    for _, text in rows:
+        words = re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", (text or "").casefold())
+        bags.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set()))
+
+    def alike(i, j):
+        few, many = sorted((len(bags[i]), len(bags[j])))
+        return few >= 0.8 * many > 0 and len(bags[i] & bags[j]) >= 0.8 * len(bags[i] | bags[j])
+
+    return groups_by_hand(rows, alike)
+
+
 def texts():
     rng = random.Random(3)
     words = [f"w{n}" for n in range(300)]
@@ -83,7 +98,7 @@ def test_one_of_each_group_stays(spark):
     rows = texts()
     docs = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, digest long")
     kept = [tuple(r) for r in simhash.drop_near_duplicates(docs).collect()]
-    firsts = {c for _, _, c in groups_by_hand(rows)}
+    firsts = {c for _, _, c in wider_groups_by_hand(rows)}
     assert len(kept) == len(set(kept))
     assert {d for d, _, _ in kept} == firsts
     assert simhash.drop_near_duplicates(docs.limit(0)).collect() == []
