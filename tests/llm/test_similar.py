@@ -51,3 +51,72 @@ def test_copies_go_and_others_stay(spark):
     assert len(left) <= 1
     assert all(n in kept for n in bags if not any(like(n, other) for other in bags if other != n) and n not in (900, 901))
     assert similar.similar_links(spark.createDataFrame([], "node long, text string")).collect() == []
+
+
+def changed(rng, words, share):
+    """A copy with as many scattered words changed as lower the similarity to about ``share``."""
+    gone = round(len(words) * (1 - share) / (1 + share))
+    copy = list(words)
+    for place in rng.sample(range(0, len(words), 6), max(1, round(gone / 5))):
+        copy[place] = f"new{rng.randrange(10**9)}"
+    return copy
+
+
+def pairs_by_hand(rows):
+    import numpy as np
+
+    bags = [bag(text) for _, text in rows]
+    number = {one: n for n, one in enumerate({one for held in bags for one in held})}
+    held = np.zeros((len(bags), len(number)), dtype=np.float32)
+    for n, one in enumerate(bags):
+        held[n, [number[key] for key in one]] = 1
+    shared = (held @ held.T).astype(np.float64)
+    sizes = held.sum(axis=1, dtype=np.float64)
+    alike = shared >= 0.8 * (sizes[:, None] + sizes[None, :] - shared)
+    return {tuple(sorted((rows[a][0], rows[b][0]))) for a, b in np.argwhere(alike).tolist() if a < b}
+
+
+def components_of(nodes, pairs):
+    at = {n: n for n in nodes}
+
+    def top(n):
+        while at[n] != n:
+            n = at[n]
+        return n
+
+    for a, b in pairs:
+        low, high = sorted((top(a), top(b)))
+        at[high] = low
+    return {n: top(n) for n in nodes}
+
+
+def groups_match(spark, rows):
+    got = {tuple(r) for r in similar.similar_links(spark.createDataFrame(rows, "node long, text string")).collect()}
+    want = pairs_by_hand(rows)
+    assert got <= want
+    keys = {n: set(similar.band_keys(next(iter(similar.shingle_sets([text]))))) for n, text in rows}
+    want = {(a, b) for a, b in want if keys[a] & keys[b]}
+    nodes = [n for n, _ in rows]
+    found = components_of(nodes, want)
+    assert components_of(nodes, got) == found
+    return len(set(found.values()))
+
+
+def test_a_base_ties_all_its_copies(spark):
+    rng = random.Random(4)
+    base = [f"w{n}" for n in range(300)]
+    texts = [base] + [changed(rng, base, 0.85) for _ in range(1000)]
+    nodes = rng.sample(range(10**6), len(texts))
+    # one copy shares none of the twelve keys, as one of some thousands does
+    assert groups_match(spark, [(n, " ".join(words)) for n, words in zip(nodes, texts, strict=True)]) <= 2
+
+
+def test_pairs_in_a_crowd_of_unlike_texts(spark):
+    rng = random.Random(5)
+    base = [f"w{n}" for n in range(300)]
+    texts = []
+    for _ in range(60):
+        own = changed(rng, base, 0.75)
+        texts += [own, changed(rng, own, 0.88), changed(rng, own, 0.88)]
+    nodes = rng.sample(range(10**6), len(texts))
+    assert 30 < groups_match(spark, [(n, " ".join(words)) for n, words in zip(nodes, texts, strict=True)]) < 100
