@@ -425,5 +425,6 @@ SELECT conv_id, turn, role FROM conversations c WHERE NOT EXISTS (
         "stream_index": chunk_select,
         "stream_answers": PROMPTS,
         "stream_issues": f"SELECT issue_num, 'issue-' || issue_num || '/article-' || current || '.md' AS path, title, url FROM ({ARTICLES})",
+        "stream_corpus": f"SELECT issue_num, 'issue-' || issue_num || '/article-' || current || '.md' AS path, url, markdown_md5 FROM ({CORPUS})",
         "stream_schedule": SLOTS,
     }

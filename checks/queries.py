@@ -651,6 +651,31 @@ def corpus_repeated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    tables = _corpus_tables(spark, sf_dir)
+    built = corpus.build_corpus(*[reduce(DataFrame.unionByName, [df] * times) for df in tables])
+    return built.select(
+        "issue_num", "url", "route", F.col("item_of.current").alias("current"),
+        F.md5("markdown").alias("markdown_md5"),
+    )
+
+
+def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same articles from a stream of issue pages, as they are stored, by two checkpoints."""
+    out = scratch(spark, "stream-corpus")
+    for name, df in zip(("landed", "rendered"), _corpus_tables(spark, sf_dir)[1:], strict=True):
+        df.write.parquet(f"{out}/{name}")
+    issue_pages(spark, sf_dir).write.parquet(f"{out}/issues")
+    schema = spark.read.parquet(f"{out}/issues").schema
+    for log in ("log", "again"):
+        issues = jobs.read_stream(spark, f"{out}/issues", schema)
+        at = [f"{out}/{name}" for name in ("landed", "rendered", "table", "state", log)]
+        jobs.stream_corpus(issues, *at).awaitTermination()
+    return spark.read.parquet(f"{out}/table").select(
+        "issue_num", "path", "url", F.md5(F.expr("substring(text, locate('\n\n---\n\n', text) + 7)")).alias("markdown_md5")
+    )
+
+
+def _corpus_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Index pages to article Markdown: issues of documents, articles of pages.
 
     The landed table holds the issue pages and, for every document that is
@@ -691,12 +716,7 @@ def _corpus(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
     )
     rendered = documents.filter(F.col("lang") != "en").select("url", "html")
     landed = landed_articles.unionByName(landed_issues)
-    repeated = [reduce(DataFrame.unionByName, [df] * times) for df in (listed, landed, rendered)]
-    built = corpus.build_corpus(*repeated)
-    return built.select(
-        "issue_num", "url", "route", F.col("item_of.current").alias("current"),
-        F.md5("markdown").alias("markdown_md5"),
-    )
+    return listed, landed, rendered
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -742,6 +762,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         stream_index,
         stream_answers,
         stream_issues,
+        stream_corpus,
         stream_schedule,
     ]
     return {q.__name__: q for q in named}

@@ -7,6 +7,8 @@ the output alone and a batch that is run again changes nothing.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,9 +19,11 @@ from pressmill.operators.incremental import first_by_key, skip_existing_issues
 from pressmill.operators.markdown import with_markdown
 from pressmill.operators.nearest import K
 from pressmill.operators.politeness import PERIOD_MICROS, schedule
-from pressmill.operators.routing import route
+from pressmill.operators.routing import NEEDS_SCRIPT, route
 from pressmill.plans.ask import ask
+from pressmill.plans.corpus import article_markdown
 from pressmill.plans.index import append_documents
+from pressmill.session import frozen
 from pressmill.sources.tables import read_table
 from pressmill.sources.writers import save_articles, save_batch
 
@@ -89,6 +93,55 @@ def stream_issues(
     return _start(issues.writeStream.foreachBatch(batch), checkpoint)
 
 
+def stream_corpus(
+    issues: DataFrame, landed: str, rendered: str, table: str, state: str, checkpoint: str, force_all: bool = False
+) -> StreamingQuery:
+    """Articles of issue pages as they land, with the text of the pages landed by then.
+
+    ``landed`` and ``rendered`` are tables of ``url`` and ``html`` that each batch
+    reads as they stand. An issue counts as done, and is left out from then on,
+    only when every article has its page, or its second copy where it needs one.
+    Others are stored with what there is and kept in ``state``; each batch, and
+    each call before its first batch, works on them again.
+    """
+    spark, names = issues.sparkSession, ["num", "item_of", "html"]
+
+    def work(rows: DataFrame, batch_id: int, run: str) -> None:
+        seen, done = read_table(spark, f"{state}/waiting"), read_table(spark, f"{state}/done")
+        rows = rows.select(*names)
+        if done is not None and not force_all:
+            rows = rows.join(done.select("num").distinct(), "num", "left_anti")
+        if seen is not None:
+            seen = seen.select(*names)
+            if done is not None:
+                seen = seen.join(done.select("num").distinct(), "num", "left_anti")
+            rows = rows.unionByName(seen)
+        rows = frozen(first_by_key(rows.filter("num is not null"), ["num"]))
+        if rows.isEmpty():
+            return
+        page = spark.createDataFrame([], "url string, html string")
+        first, second = [read_table(spark, path) for path in (landed, rendered)]
+        first = page if first is None else first.select("url", "html")
+        second = page if second is None else second.select("url", "html")
+        articles = frozen(article_markdown(frozen(extract_articles(rows)), first, second))
+        again = second.filter("html is not null").select("url").distinct()
+        missing = articles.filter((F.col("route") == NEEDS_SCRIPT) & F.col("url").isNotNull())
+        missing = frozen(missing.join(again, "url", "left_anti").select(F.col("issue_num").alias("num")).distinct())
+        save_articles(articles, table)
+        # new rows only: a batch that is run again finds what it left and adds the same
+        waits = rows.join(missing, "num", "left_semi")
+        save_batch(waits, f"{state}/waiting", batch_id, run)
+        save_batch(rows.join(missing, "num", "left_anti").select("num"), f"{state}/done", batch_id, run)
+
+    if (kept := read_table(spark, f"{state}/waiting")) is not None:
+        work(kept.select(*names).limit(0), 0, f"retry-{uuid.uuid4().hex}")
+
+    def batch(rows: DataFrame, batch_id: int) -> None:
+        work(rows, batch_id, _run(rows))
+
+    return _start(issues.writeStream.foreachBatch(batch), checkpoint)
+
+
 def stream_schedule(
     requests: DataFrame, out: str, state: str, checkpoint: str, period: int = PERIOD_MICROS
 ) -> StreamingQuery:

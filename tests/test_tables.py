@@ -155,6 +155,32 @@ def test_stream_issues_skips_what_is_stored(spark, tmp_path):
     assert land(2, "other") == [(1, "first"), (2, "other")]
 
 
+def test_stream_corpus_stores_texts_and_waits_for_pages(spark, tmp_path):
+    schema = "num int, item_of struct<current:int,total:int>, html string"
+    page = '<h3 class="topic-title">T</h3><div><a class="post-title" href="https://a.example.com/{}">t</a></div>'
+    body = "<html><body><article><h2>Head</h2><p>" + "Some words of the text. " * 30 + "</p></article></body></html>"
+    paths = {name: str(tmp_path / name) for name in ("in", "landed", "rendered", "out", "state", "log")}
+
+    def put(name, rows, kind="url string, html string"):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(paths[name])
+
+    def texts():
+        stream = jobs.read_stream(spark, paths["in"], spark.createDataFrame([], schema).schema)
+        jobs.stream_corpus(stream, *[paths[n] for n in ("landed", "rendered", "out", "state", "log")]).awaitTermination()
+        stored = spark.read.parquet(paths["out"]).collect()
+        return {r.issue_num: "Some words of the text." in r.text for r in stored}
+
+    put("in", [(n, (0, 1), page.format(n)) for n in (1, 2, 3)], schema)
+    put("landed", [("https://a.example.com/1", body), ("https://a.example.com/3", "<noscript>")])
+    assert texts() == {1: True, 2: False, 3: False}
+    put("landed", [("https://a.example.com/2", body)])
+    assert texts() == {1: True, 2: True, 3: False}
+    put("rendered", [("https://a.example.com/3", body)])
+    assert texts() == {1: True, 2: True, 3: True}
+    done = spark.read.parquet(paths["state"] + "/done")
+    assert sorted(r.num for r in done.collect()) == [1, 2, 3]
+
+
 def test_stream_schedule_keeps_the_last_slot(spark, tmp_path):
     schema = "domain string, at_micros long, request_id long"
 
