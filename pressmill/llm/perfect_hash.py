@@ -8,6 +8,7 @@ the count of bits before its own, over all tables: n keys get 0 to n - 1.
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 
 import numpy as np
 
@@ -66,16 +67,35 @@ class PerfectHash:
         return found
 
     def to_bytes(self) -> bytes:
+        """Number of levels, words of each, keys; then of every word its bits and the bits before it."""
         sizes = [len(table) for table in self.tables]
-        return struct.pack(f"<{len(sizes) + 1}q", len(sizes), *sizes) + b"".join(t.astype("<u8").tobytes() for t in self.tables)
+        out = [struct.pack(f"<{len(sizes) + 2}q", len(sizes), *sizes, self.size)]
+        for table, before in zip(self.tables, self.before, strict=True):
+            out.append(np.stack([table, before.view(np.uint64)], axis=1).astype("<u8").tobytes())
+        return b"".join(out)
+
+    @classmethod
+    def number_at(cls, read_at: Callable[[int, int], bytes], key: int) -> tuple[int, int, int]:
+        """The number of one key in a written hash (-1: not held), its keys, and where it ends; a read per level."""
+        (levels,) = struct.unpack("<q", read_at(8, 0))
+        *sizes, total = struct.unpack(f"<{levels + 1}q", read_at(8 * (levels + 1), 8))
+        at, found = 8 * (levels + 2), -1
+        for level, size in enumerate(sizes):
+            if found < 0:
+                place = int(mixed(np.array([key], dtype=np.int64), level)[0]) % (size * WORD)
+                word, before = struct.unpack("<Qq", read_at(16, at + 16 * (place // WORD)))
+                if word >> place % WORD & 1:
+                    found = before + (word & (1 << place % WORD) - 1).bit_count()
+            at += 16 * size
+        return found, total, at
 
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple[PerfectHash, int]:
         """The hash and the number of bytes it takes."""
         (levels,) = struct.unpack_from("<q", data)
         sizes = struct.unpack_from(f"<{levels}q", data, 8)
-        at, tables = 8 * (levels + 1), []
+        at, tables = 8 * (levels + 2), []
         for size in sizes:
-            tables.append(np.frombuffer(data, dtype="<u8", count=size, offset=at))
-            at += 8 * size
+            tables.append(np.frombuffer(data, dtype="<u8", count=2 * size, offset=at)[::2].copy())
+            at += 16 * size
         return cls(tables), at

@@ -37,12 +37,11 @@ def write_flat(docs: DataFrame, tokenizer: str, end: int, folder: str, threads:
 
         name = f"{TaskContext.get().partitionId():06d}.ids"
         encoder = encoding.byte_level_encoder(tokenizer, threads)
-        last = np.array([end], dtype=encoder.id_type).tobytes()
         held = 0
         with store.written(folder, name) as out:
             for batch in batches:
-                for part in encoding.batches_of([text or "" for text in batch.column(1).to_pylist()]):
-                    out.write(b"".join([ids + last for ids in encoder(part)]))
+                for part in encoding.slices(batch.column(1)):
+                    out.write(encoder.ids(part, end)[0].tobytes())
                 places = np.arange(held, held + batch.num_rows)
                 held += batch.num_rows
                 yield record_batch(schema, [[name] * batch.num_rows, places, batch.column(0)])
@@ -75,17 +74,16 @@ def _scan(blocks: DataFrame, folder: str, id_type: str, end: int, block_ids: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for file, block, ids in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 count = min(block_ids, ids - block * block_ids)
                 with store.opened(folder, file) as found:
                     data = np.frombuffer(found.read_at(count * kind.itemsize, block * block_ids * kind.itemsize), kind)
                 places = np.flatnonzero(data == end)
                 if len(places):
-                    rows.append((file, block, len(places), int(places[0]) + 1, count - 1 - int(places[-1]), np.diff(places)))
+                    row = (file, block, len(places), int(places[0]) + 1, count - 1 - int(places[-1]), np.diff(places))
                 else:
-                    rows.append((file, block, 0, 0, count, []))
-            yield record_batch(schema, [[row[n] for row in rows] for n in range(6)])
+                    row = (file, block, 0, 0, count, [])
+                yield record_batch(schema, [[value] for value in row])
 
     return blocks.mapInArrow(run, "file string, block long, ends long, head long, tail long, gaps array<long>")
 

@@ -7,8 +7,8 @@ A store is a folder of
   fingerprint of the key (4 bytes), the rank of its first document and how many there are;
 * ``manifest``: JSON with the first rank and first id of every shard.
 
-A key is found by one hash bucket, one bit table each for few levels, its fingerprint
-and two reads. Documents lie in ascending order of keys, over all shards.
+A key is found by one hash bucket, one word each of few bit tables, its fingerprint
+and the place of its documents, all read where they stand. Documents lie in ascending order of keys, over all shards.
 """
 
 from __future__ import annotations
@@ -83,26 +83,22 @@ def _write_shards(rows: DataFrame, folder: str, tokenizer: str, end: int, thread
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        encoder = encoding.byte_level_encoder(tokenizer, threads)
-        last = np.array([end], dtype=encoder.id_type).tobytes()
+        encoder = encoding.byte_level_encoder(tokenizer, threads, special=True)
         first = next((batch for batch in batches if batch.num_rows), None)
         if first is None:
             return
         held, total, ends = 0, 0, []
         with store.written(folder, f"{shard:06d}.ids") as out:
             for batch in _with(first, batches):
-                texts = [text or "" for text in batch.column(1).to_pylist()]
-                sizes = []
-                for part in encoding.batches_of(texts):
-                    found = [ids + last for ids in encoder(part)]
-                    out.write(b"".join(found))
-                    sizes += [len(ids) // encoder.id_type.itemsize for ids in found]
-                counts = np.array(sizes, dtype=np.int64)
-                ends.append(total + np.cumsum(counts))
-                total += int(counts.sum())
-                places = np.arange(held, held + len(sizes))
-                yield record_batch(schema, [np.full(len(sizes), shard, dtype=np.int32), places, batch.column(0), counts])
-                held += len(sizes)
+                at = 0
+                for part in encoding.slices(batch.column(1)):
+                    ids, offsets, _ = encoder.ids(part, end)
+                    out.write(ids.tobytes())
+                    ends.append(total + offsets[1:])
+                    total += len(ids)
+                    places, own = np.arange(held, held + len(part)), batch.column(0).slice(at, len(part))
+                    yield record_batch(schema, [np.full(len(part), shard, dtype=np.int32), places, own, np.diff(offsets)])
+                    held, at = held + len(part), at + len(part)
         with store.written(folder, f"{shard:06d}.ends") as out:
             out.write(np.concatenate(ends).astype("<i8").tobytes())
 
@@ -197,14 +193,14 @@ class Maps:
 
 
 def get(folder: str, key: int) -> list[np.ndarray]:
-    """The ids of every document of one key, in order; none where the key isn't held."""
+    """The ids of every document of one key, in order; none where the key isn't held.
+
+    Reads the manifest, the few words of the map that the key points to, and what
+    its documents take, whatever the size of the store.
+    """
     manifest = Manifest.load(folder)
-    keys = np.array([key], dtype=np.int64)
-    try:
-        first, held = Maps(manifest).find(int(_bucket(manifest.maps)(keys)[0]), keys)
-    except FileNotFoundError:
-        return []
-    ranks = np.arange(first[0], first[0] + held[0])
+    first, held = _looked_up(manifest, key)
+    ranks = np.arange(first, first + held)
     shard = np.searchsorted(manifest.first_rank, ranks, "right") - 1
     out = []
     for number in np.unique(shard).tolist():
@@ -212,6 +208,21 @@ def get(folder: str, key: int) -> list[np.ndarray]:
     return out
 
 
+def _looked_up(manifest: Manifest, key: int) -> tuple[int, int]:
+    """First rank and number of documents of a key, by reads of single words of its map; 0 and 0 if it isn't held."""
+    keys = np.array([key], dtype=np.int64)
+    number = int(_bucket(manifest.maps)(keys)[0])
+    try:
+        with store.opened(manifest.folder, f"{number:06d}.map") as file:
+            place, size, at = PerfectHash.number_at(file.read_at, key)
+            if place < 0 or np.frombuffer(file.read_at(4, at + 4 * place), "<u4")[0] != _prints(keys)[0]:
+                return 0, 0
+            first, held = (int(np.frombuffer(file.read_at(8, at + start * size + 8 * place), "<i8")[0]) for start in (4, 12))
+            return first, held
+    except FileNotFoundError:
+        return 0, 0
+
+
 def _documents(manifest: Manifest, number: int, places: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Start in the shard and ids of documents at ascending places of the ``number``-th shard.
 
@@ -219,9 +230,14 @@ def _documents(manifest: Manifest, number: int, places: np.ndarray) -> Iterator[
     """
     name = f"{manifest.shards[number]:06d}"
     kind = np.dtype(manifest.id_type)
-    ends = np.frombuffer(store.read(manifest.folder, f"{name}.ends"), "<i8")
-    starts = np.concatenate(([0], ends[:-1]))[places]
-    ends = ends[places]
+    if not len(places):
+        return
+    low, high = int(places[0]), int(places[-1])
+    with store.opened(manifest.folder, f"{name}.ends") as file:  # the ends asked for and the one before them
+        before = max(low - 1, 0)
+        read = np.frombuffer(file.read_at(8 * (high + 1 - before), 8 * before), "<i8")
+    borders = np.concatenate(([0], read)) if low == 0 else read
+    starts, ends = borders[places - low], borders[places - low + 1]
     with store.opened(manifest.folder, f"{name}.ids") as file:
         at = 0
         while at < len(places):

@@ -15,20 +15,37 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def whole():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+    return lambda text, special=True: encode(tokenizer, text, special)
+
+
+def encode(tokenizer, text, special):
+    tokenizer.encode_special_tokens = not special
+    return tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_pieces_give_the_ids_of_the_whole_text(whole):
     rng = random.Random(1)
-    parts = ["a", "b1", " ", "  ", "\n", "\t", ".", "!", "é", "\xa0", "'s", "　", "\x1c", "\x85", "don't", "<|endoftext|>", "🙂"]
+    parts = ["a", "b1", " ", "  ", "\n", "\t", ".", "!", "é", "\xa0", "'s", "　", "\x1c", "\x85", "don't", "<|endoftext|>", "🙂", "ß", "Ɂ", "12", "²", "t.", "\x0b", "\u180e"]
     texts = ["", " ", "  ", "x   ", " \n b"] + ["".join(rng.choices(parts, k=30)) for _ in range(1500)]
-    for remembered in (10**6, 50):
-        encoder = encoding.byte_level_encoder(PATH)
-        encoder.remembered = remembered
-        got = [np.frombuffer(ids, encoder.id_type).tolist() for ids in encoder(texts)]
-        assert got == [whole(text) for text in texts]
-    encoder.remembered = encoding.REMEMBERED
+    for special in (False, True):
+        encoder = encoding.byte_level_encoder(PATH, special=special)
+        for remembered in (encoding.REMEMBERED, 50):
+            encoder.remembered = remembered
+            got = [np.frombuffer(ids, encoder.id_type).tolist() for ids in encoder(texts)]
+            assert got == [whole(text, special) for text in texts]
+        encoder.remembered = encoding.REMEMBERED
+
+
+def test_special_strings_are_special(spark, whole):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "endoftext|>x<|endoftext|>")], "doc_id long, text string")
+    manifest = token_store.write_store(docs, PATH, 2, shards=1)
+    assert token_store.get(manifest.folder, 1)[0].tolist() == [64, 220, 50256, 275, 2]
+    assert token_store.get(manifest.folder, 2)[0].tolist() == [*whole("endoftext|>x<|endoftext|>"), 2]
+
+
+def test_long_pieces_are_not_remembered():
+    encoder = encoding.PieceEncoder(encoding.byte_level_encoder(PATH).encode, encoding.byte_level_cuts)
+    assert len(encoder(["x" * 3_000_000 + " word"])[0]) > 4 and list(encoder.known) == [b" word"]
 
 
 def test_perfect_hash():
@@ -36,6 +53,10 @@ def test_perfect_hash():
         keys = np.random.default_rng(n).choice(1 << 40, n, replace=False) - (1 << 39)
         made = PerfectHash.build(keys)
         assert made.size == n and sorted(made.numbers(keys).tolist()) == list(range(n))
+        data = made.to_bytes()
+        for key in keys[:20].tolist():
+            got = PerfectHash.number_at(lambda count, at: data[at : at + count], key)  # noqa: B023
+            assert got == (made.numbers(np.array([key]))[0], n, len(data))
         back, size = PerfectHash.from_bytes(made.to_bytes() + b"more")
         assert (back.numbers(keys) == made.numbers(keys)).all() and size == len(made.to_bytes())
 
