@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressmill.llm import decontamination, hmm, pieces, quality, sharding, simhash, token_counts, token_store, url_filter, weighted_sampling
+from pressmill.llm import decontamination, hmm, merkle, packing, pieces, quality, sharding, simhash, token_counts, token_store, url_filter, weighted_sampling, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,7 +80,33 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded_documents(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
 
 
-QUERIES = [op1_simhash, op2_weighted_sampling, op3_quality, op4_token_store, op5_rendezvous, op6_separator_scan, op7_bloom_cascade, op8_hidden_markov, op9_sentencepiece, op10_decontamination]
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = [
+    op1_simhash,
+    op2_weighted_sampling,
+    op3_quality,
+    op4_token_store,
+    op5_rendezvous,
+    op6_separator_scan,
+    op7_bloom_cascade,
+    op8_hidden_markov,
+    op9_sentencepiece,
+    op10_decontamination,
+    op11_packing,
+    op12_whitening,
+    op13_merkle_manifest,
+]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

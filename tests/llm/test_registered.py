@@ -12,7 +12,7 @@ def test_registered():
     import __spark_entry__ as contract
 
     names = list(contract.queries())
-    assert all(sum(name.startswith(f"op{n}_") for name in names) == 1 for n in range(1, 11))
+    assert all(sum(name.startswith(f"op{n}_") for name in names) == 1 for n in range(1, 14))
     assert "pipeline" in names
 
 
