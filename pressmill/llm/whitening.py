@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import only, record_batch
+from pressmill.llm.common import frozen, only, record_batch
 from pressmill.llm.feast import largest_pairs
 
 COMPONENTS = 32
@@ -64,24 +64,38 @@ def _usable(vector: Column) -> Column:
 
 
 def usable_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """``key`` (a long) and ``vector`` (doubles) of the rows that are whitened.
+    """``key`` (a long) and ``x`` (integers, 8 bytes each) of the rows that are whitened, as a written table.
 
     Vectors that are NULL, empty or hold NULL, NaN, infinite or too large entries
     are left out, and so are those of another length than most (of equally common
     lengths the longest counts).
     """
-    found = only(rows, key, vector).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
-    found = found.filter(_usable(F.col("vector")))
-    size = F.size("vector").alias("size")
-    most = found.groupBy(size).count().orderBy(F.desc("count"), F.desc("size")).first()
-    return found.filter(F.size("vector") == (most["size"] if most else 0))
+    found = only(rows, key, vector).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    schema = pa.schema([("key", pa.int64()), ("x", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                lists = part.column(1)
+                values = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
+                x = np.floor(SCALE * values).astype("<i8") + OFFSET
+                ends = lists.offsets.to_numpy()
+                ends = (8 * (ends - ends[0])).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+                yield pa.RecordBatch.from_arrays([part.column(0), packed], schema=schema)
+
+    scaled = frozen(found.filter(_usable(F.col("vector"))).mapInArrow(run, "key long, x binary"))
+    size = F.octet_length("x")
+    most = scaled.groupBy(size.alias("size")).count().orderBy(F.desc("count"), F.desc("size")).first()
+    return scaled.filter(size == (most["size"] if most else 0))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of a column as integers, a row each."""
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    scaled = np.floor(SCALE * values).astype(np.int64) + OFFSET
-    return scaled.reshape(len(column), -1)
+    """Vectors of a column of equally long ones as integers, a row each."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, 4 * column.offset)
+    x = np.frombuffer(column.buffers()[2], "<i8", (int(ends[-1]) - int(ends[0])) // 8, int(ends[0]))
+    return x.reshape(len(column), -1)
 
 
 def _summed(vectors: DataFrame, sums: Callable[[np.ndarray], np.ndarray]) -> np.ndarray | None:
