@@ -17,16 +17,16 @@ TABLES = (
 def main(sf_dir: str, names: list[str]) -> int:
     import duckdb
 
-    from checks import oracles, queries
+    from checks import registry
 
     spark = local_session(cores="8")
     spark.sparkContext.setLogLevel("OFF")
     base = duckdb.connect()
     for name in TABLES:
         base.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
-    sql = oracles.all_oracles()
+    sql = registry.all_oracles()
     bad = 0
-    for name, run in queries.all_queries().items():
+    for name, run in registry.all_queries().items():
         if names and name not in names:
             continue
         start = time.time()

@@ -47,3 +47,13 @@ def hashed_words(text: Column, dim: int = DIMENSIONS) -> Column:
 
     codes = F.array_join(F.transform(words(text), lambda w: code(bucket(w, dim))), "")
     return let(let(codes, counts), scaled)
+
+
+def l2_distance(left: Column, right: Column) -> Column:
+    """Euclidean distance of two arrays of numbers, in doubles.
+
+    NULL where either is NULL or holds a NULL, or their lengths differ.
+    """
+    gaps = F.zip_with(left, right, lambda a, b: a.cast("double") - b.cast("double"))
+    total = F.aggregate(gaps, F.lit(0.0), lambda s, v: s + v * v)
+    return F.when(F.size(left) == F.size(right), F.sqrt(total))
