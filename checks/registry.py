@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import oracles, queries, search
+from checks import markdown_chunks, oracles, queries, search, weighted
+
+MODULES = [search, markdown_chunks, weighted]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return queries.all_queries() | {query.__name__: query for query in search.QUERIES}
+    return queries.all_queries() | {query.__name__: query for module in MODULES for query in module.QUERIES}
 
 
 def all_oracles() -> dict[str, str]:
-    return oracles.all_oracles() | search.ORACLES
+    found = oracles.all_oracles()
+    for module in MODULES:
+        found |= module.ORACLES
+    return found
