@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressmill.operators.incremental import first_by_key, skip_stored_chunks
@@ -44,3 +44,46 @@ def save_batch(df: DataFrame, path: str, batch_id: int, run: str) -> None:
         .partitionBy("run", "batch_id")
         .parquet(path)
     )
+
+
+def save_whole_batch(df: DataFrame, path: str, batch_id: int, run: str) -> None:
+    """Like ``save_batch``, but a batch without rows leaves a folder too."""
+    df.write.mode("overwrite").parquet(f"{path}/run={run}/batch_id={batch_id}")
+
+
+def batch_folders(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Run and number of the batches that ``save_batch`` wrote to a table."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(top, "run=*/batch_id=*")) or []
+    parts = [str(one.getPath().toString()).split("/")[-2:] for one in found]
+    return sorted((run.removeprefix("run="), int(batch.removeprefix("batch_id="))) for run, batch in parts)
+
+
+def drop_batches(spark: SparkSession, path: str, batches: list[tuple[str, int]]) -> None:
+    """Removes batches that no later one will look at."""
+    for run, number in batches:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/run={run}/batch_id={number}")
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def state_before(spark: SparkSession, path: str, run: str, batch_id: int) -> tuple[DataFrame | None, list[tuple[str, int]]]:
+    """The state that a batch goes on from, and the batches it lies in.
+
+    That is what the last earlier batch of the run left; a run that has none yet
+    goes on from what all others left. Every batch that leaves a state leaves all
+    of it, so those before it may go.
+    """
+    held = [one for one in batch_folders(spark, path) if one[0] != run or one[1] < batch_id]
+    own = [one for one in held if one[0] == run]
+    chosen = own[-1:] or held
+    if not chosen:
+        return None, []
+    folders = [f"{path}/run={name}/batch_id={number}" for name, number in chosen]
+    return spark.read.option("basePath", path).parquet(*folders), chosen
+
+
+def forget_before(spark: SparkSession, path: str, run: str, batch_id: int, used: list[tuple[str, int]]) -> None:
+    """Removes the states but that of a batch and those it went on from, which it needs if it is run again."""
+    kept = {(run, batch_id), *used}
+    drop_batches(spark, path, [one for one in batch_folders(spark, path) if one not in kept])

@@ -25,7 +25,7 @@ from pressmill.plans.corpus import article_markdown
 from pressmill.plans.index import append_documents
 from pressmill.session import frozen
 from pressmill.sources.tables import read_table
-from pressmill.sources.writers import save_articles, save_batch
+from pressmill.sources.writers import forget_before, save_articles, save_batch, save_whole_batch, state_before
 
 
 def read_stream(
@@ -107,7 +107,8 @@ def stream_corpus(
     spark, names = issues.sparkSession, ["num", "item_of", "html"]
 
     def work(rows: DataFrame, batch_id: int, run: str) -> None:
-        seen, done = read_table(spark, f"{state}/waiting"), read_table(spark, f"{state}/done")
+        seen, used = state_before(spark, f"{state}/waiting", run, batch_id)
+        done = read_table(spark, f"{state}/done")
         rows = rows.select(*names)
         if done is not None and not force_all:
             rows = rows.join(done.select("num").distinct(), "num", "left_anti")
@@ -118,7 +119,7 @@ def stream_corpus(
             rows = rows.unionByName(seen)
         rows = frozen(first_by_key(rows.filter("num is not null"), ["num"]))
         if rows.isEmpty():
-            return
+            return  # what an earlier batch left to wait has been done since, and is filtered again
         page = spark.createDataFrame([], "url string, html string")
         first, second = [read_table(spark, path) for path in (landed, rendered)]
         first = page if first is None else first.select("url", "html")
@@ -129,9 +130,10 @@ def stream_corpus(
         missing = frozen(missing.join(again, "url", "left_anti").select(F.col("issue_num").alias("num")).distinct())
         save_articles(articles, table)
         # new rows only: a batch that is run again finds what it left and adds the same
-        waits = rows.join(missing, "num", "left_semi")
-        save_batch(waits, f"{state}/waiting", batch_id, run)
         save_batch(rows.join(missing, "num", "left_anti").select("num"), f"{state}/done", batch_id, run)
+        waits = frozen(rows.join(missing, "num", "left_semi"))
+        save_whole_batch(waits, f"{state}/waiting", batch_id, run)
+        forget_before(spark, f"{state}/waiting", run, batch_id, used)
 
     if (kept := read_table(spark, f"{state}/waiting")) is not None:
         work(kept.select(*names).limit(0), 0, f"retry-{uuid.uuid4().hex}")
@@ -148,9 +150,9 @@ def stream_schedule(
     """Slots for requests as they come; the last slot of each domain is kept.
 
     The state is written whole under each batch's run and number, from the state
-    the batch before left. Where there is none, as on the first batch of a
-    checkpoint or behind empty ones, the last slots of all other batches count,
-    so that a new checkpoint goes on from what earlier ones gave out.
+    the last batch before left; a new checkpoint goes on from what earlier ones
+    left. States that no batch can need any more are removed. ``slots`` of
+    ``stateful`` keeps the same in the state of the stream itself.
     """
 
     def batch(rows: DataFrame, batch_id: int) -> None:
@@ -158,15 +160,13 @@ def stream_schedule(
         here = f"run={run}/batch_id={batch_id}"
         if rows.isEmpty():
             return
-        last = read_table(spark, f"{state}/run={run}/batch_id={batch_id - 1}")
-        if last is None and (earlier := read_table(spark, state)) is not None:
-            own = (F.col("run") == run) & (F.col("batch_id") >= batch_id)
-            last = earlier.filter(~own)
+        last, used = state_before(spark, state, run, batch_id)
         last = last.groupBy("domain").agg(F.max("slot").alias("slot")) if last is not None else None
         slots = schedule(rows, period=period, last_slots=last)
         save_batch(slots, out, batch_id, run)
         given = spark.read.schema(slots.schema).parquet(f"{out}/{here}").select("domain", "slot")
         known = given if last is None else given.unionByName(last)
-        save_batch(known.groupBy("domain").agg(F.max("slot").alias("slot")), state, batch_id, run)
+        save_whole_batch(known.groupBy("domain").agg(F.max("slot").alias("slot")), state, batch_id, run)
+        forget_before(spark, state, run, batch_id, used)
 
     return _start(requests.writeStream.foreachBatch(batch), checkpoint)
