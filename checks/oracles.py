@@ -249,7 +249,11 @@ DIRTY_PAGES = """
 SELECT doc_id, md5('Zq ' || trim(regexp_replace(text, '[^A-Za-z]+', ' ', 'g')) || chr(10) || chr(10)
   || 'see [link ' || doc_id || '](http://h.net/' || doc_id || ') and ![pic](' || doc_id || '.png)' || chr(10) || chr(10)
   || '- one ' || doc_id || chr(10) || '- two' || chr(10) || chr(10)
-  || '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | x + [ |') AS markdown_md5
+  || '| A | B |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' | x + [ |' || chr(10) || chr(10)
+  || '1. one ' || doc_id || chr(10) || '  4. four' || chr(10) || '  5. five ' || doc_id || chr(10) || '2. two' || chr(10) || chr(10)
+  || '> out ' || doc_id || chr(10) || '>' || chr(10) || '> > in' || chr(10) || '>' || chr(10) || '> out again' || chr(10) || chr(10)
+  || '**x' || doc_id || 'z** a' || chr(57344) || 'b' || chr(57354) || 'c' || chr(10) || chr(10)
+  || '| T |' || chr(10) || '| --- |' || chr(10) || '| ' || doc_id || ' deep |') AS markdown_md5
 FROM documents"""
 
 ARTICLE_FILES = """

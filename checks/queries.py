@@ -494,7 +494,10 @@ def dirty_page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</p><iframe src='x'/><nav>a<nav>b</nav>c</nav><p>see <a href='http://h.net/"), number,
         F.lit("'>link "), number, F.lit("</a> and <img alt='pic' src='"), number,
         F.lit(".png'></p><ul><li>one "), number, F.lit("</li><li class=\"x nav\">gone<li>two</ul><table><tr><th>A</th><th>B</th></tr><tr><td>"), number,
-        F.lit("</td><td>x &#0000043; &lsqb;</td></tr></table><h2 class='ads'>Ad</h2><footer>open "), words,
+        F.lit("</td><td>x &#0000043; &lsqb;</td></tr></table><ol><li>one "), number, F.lit("<ol start=4><li>four<li>five "), number,
+        F.lit("</ol></li><li>two</li></ol><blockquote>out "), number, F.lit("<blockquote>in</blockquote>out again</blockquote><p><b>x<b>"), number,
+        F.lit("</b>z</b> a\ue000b\ue00ac</p><table><tr><th>T</th></tr><tr><td>"), number,
+        F.lit("<table><tr><td>deep</td></tr></table></td></tr></table><h2 class='ads'>Ad</h2><footer>open "), words,
     )
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(html_to_markdown(html)).alias("markdown_md5"))
 

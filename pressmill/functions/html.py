@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pressmill.functions.markdown import clean_markdown
+from pressmill.functions.nesting import NUMBER_CLOSE, NUMBER_OPEN, unnested
 from pressmill.functions.text import find_all, fixed_map, is_blank, let, strip, sub
 
 # What is left out with its contents.
@@ -77,6 +78,8 @@ ANGLE_OPEN, ANGLE_CLOSE = "\ue00a", "\ue00b"
 SCOPE_END = "\ue00c"
 LIST_OPEN, LIST_CLOSE = "\ue00d", "\ue00e"
 GAP = r"[ \t\r\n]"
+#: All characters that stand for something between two steps.
+PRIVATE = [chr(code) for code in range(0xE000, 0xE011)]
 
 
 def _open(names: str) -> str:
@@ -109,6 +112,7 @@ SEEN_LAST = re.compile(UNSEEN.replace(r"\z", r"\Z"))
 # References that HTML knows without a closing semicolon, long ones first.
 UNENDED = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 MAY_DROP = rf"(?i)<(?:{'|'.join(DROPPED_TAGS)})[\s/>]|[\s\"'](?:class|role)\s*=|<!--|<(?:script|style)"
+MAY_NEST = r"(?is)<(?:ol|ul)[\s/>].*<(?:ol|ul)[\s/>]|<table[\s/>].*<table[\s/>]|<(?:b|strong)[\s/>].*<(?:b|strong)[\s/>]|<(?:i|em)[\s/>].*<(?:i|em)[\s/>]"
 UNITS = "(?is)[^<]+|<(?:" + "|".join(_closed(t) for t in ("pre", "code", "a")) + f"|{REST_OF_TAG})|<"
 BLOCK_UNITS = "(?is)[^<]+|<(?:" + "|".join(
     _closed(t) for t in ("table", "ol", *(f"h{n}" for n in range(1, 7)))
@@ -222,8 +226,16 @@ def drop_elements(html: str) -> str:
 
 @F.arrow_udf(T.StringType())
 def without_dropped(html: pa.Array) -> pa.Array:
-    """``drop_elements`` of each page, in Arrow batches: nesting is beyond patterns."""
-    return pa.array([None if page is None else drop_elements(page) for page in html.to_pylist()], pa.string())
+    """``drop_elements`` and ``unnested`` of each page, in Arrow batches: nesting is beyond patterns."""
+    return pa.array([None if page is None else unnested(drop_elements(page)) for page in html.to_pylist()], pa.string())
+
+
+def without_private(html: Column) -> Column:
+    """Private characters of the page's own, as references that are decoded at the end."""
+    out = html
+    for one in PRIVATE:
+        out = F.replace(out, F.lit(one), F.lit(f"&#{ord(one)};"))
+    return F.when(html.rlike(f"[{PRIVATE[0]}-{PRIVATE[-1]}]"), out).otherwise(html)
 
 
 def decode_entities(text: Column) -> Column:
@@ -450,18 +462,37 @@ def _open_marks(text: Column, opening: str, mark: str) -> Column:
 
 
 def _quotes(text: Column) -> Column:
-    def quote(part: Column, i: Column) -> Column:
-        inner = sub(strip(F.substring_index(part, QUOTE_CLOSE, 1)), r"\n{3,}", "\n\n")
-        rest = F.when(
-            part.contains(QUOTE_CLOSE), sub(part, rf"(?s)\A[^{QUOTE_CLOSE}]*{QUOTE_CLOSE}", "")
-        ).otherwise("")
-        marked = F.concat(
-            F.lit("\n\n> "), F.replace(inner, F.lit("\n"), F.lit("\n> ")), F.lit("\n\n")
+    """Lines of quotes, marked by the depth at which they stand.
+
+    The walk over the pieces between marks keeps the depth, at which a piece was
+    shown last, and the text so far.
+    """
+    state = T.StructType(
+        [T.StructField("depth", T.IntegerType()), T.StructField("shown", T.IntegerType()), T.StructField("done", T.StringType())]
+    )
+
+    def marked(piece: Column, depth: Column) -> Column:
+        lines = sub(strip(piece), r"\n{3,}", "\n\n")
+        mark = F.repeat(F.lit("> "), depth)
+        return F.concat(mark, F.replace(lines, F.lit("\n"), F.concat(F.lit("\n"), mark)))
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth, shown = acc["depth"], acc["shown"]
+        opened = F.when(piece == QUOTE_OPEN, 1).when((piece == QUOTE_CLOSE) & (depth > 0), -1).otherwise(0)
+        # between two pieces of one quote a line of the shallower, else a blank line
+        between = F.when(shown > 0, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), F.least(shown, depth))), F.lit("\n"))).otherwise("\n\n")
+        added = (
+            F.when(piece.isin(QUOTE_OPEN, QUOTE_CLOSE), F.when((opened == -1) & (depth == 1), "\n\n").otherwise(""))
+            .when(depth == 0, piece)
+            .when(is_blank(piece), "")
+            .otherwise(F.concat(between, marked(piece, depth)))
         )
-        shown = F.when(is_blank(inner), F.lit("\n")).otherwise(marked)
-        return F.when(i == 0, part).otherwise(F.concat(shown, rest))
+        left = F.when((opened == -1) & (depth == 1), 0).when((opened != 0) | (depth == 0) | is_blank(piece), shown).otherwise(depth)
+        return F.struct((depth + opened).alias("depth"), left.alias("shown"), F.concat(acc["done"], added).alias("done")).cast(state)
 
-    return F.array_join(F.transform(F.split(text, QUOTE_OPEN), quote), "")
+    pieces = find_all(text, f"[{QUOTE_OPEN}{QUOTE_CLOSE}]|[^{QUOTE_OPEN}{QUOTE_CLOSE}]+")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("shown"), F.lit("").alias("done"))
+    return F.aggregate(pieces, start.cast(state), step, lambda acc: acc["done"])
 
 
 def _items(text: Column) -> Column:
@@ -491,8 +522,11 @@ def _items(text: Column) -> Column:
         ).otherwise(inside)
         # further lines of an item line up with its text
         inset = F.concat(F.lit("\n"), F.repeat(F.lit("  "), F.greatest(depth, F.lit(1))))
-        body = F.replace(sub(strip(own), r"\n{3,}", "\n\n"), F.lit("\n"), inset)
-        bullet = F.concat(F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0))), F.lit("- "))
+        number = F.regexp_extract(own, rf"\A\s*{NUMBER_OPEN}(-?\d+){NUMBER_CLOSE}", 1)
+        plain = sub(own, rf"\A\s*{NUMBER_OPEN}-?\d+{NUMBER_CLOSE}", "")
+        body = F.replace(sub(strip(plain), r"\n{3,}", "\n\n"), F.lit("\n"), inset)
+        sign = F.when(number == "", "- ").otherwise(F.concat(number, F.lit(". ")))
+        bullet = F.concat(F.repeat(F.lit("  "), F.greatest(depth - 1, F.lit(0))), sign)
         item = F.concat(F.lit("\n"), bullet, body, around)
         before = F.concat(own, around)
         return F.struct(
@@ -511,7 +545,9 @@ def _items(text: Column) -> Column:
 
 def convert_html(html: Column) -> Column:
     """Markdown of a page before it is cleaned."""
-    out = F.coalesce(without_dropped(F.when(html.rlike(MAY_DROP), html)), html)
+    html = without_private(html)
+    walked = html.rlike(MAY_DROP) | html.rlike(MAY_NEST)
+    out = F.coalesce(without_dropped(F.when(walked, html)), html)
     out = F.array_join(F.transform(find_all(out, UNITS), _unit), "")
     out = sub(out, rf"(?i){GAP}*(</?(?:{BLOCKS})(?:[\s/][^>]*)?>){GAP}*", "$1")
     out = F.array_join(F.transform(find_all(out, BLOCK_UNITS), _block), "")
@@ -520,8 +556,8 @@ def convert_html(html: Column) -> Column:
     out = F.translate(out, BLOCK_OPEN + BLOCK_CLOSE + SCOPE_END, "")
     listed = lambda t: t.contains(LI_OPEN) | t.contains(LIST_OPEN)
     out = let(out, lambda t: F.when(listed(t), _items(t)).otherwise(t))
-    out = let(out, lambda t: F.when(t.contains(QUOTE_OPEN), _quotes(t)).otherwise(t))
-    return F.translate(decode_entities(out), ANGLE_OPEN + ANGLE_CLOSE, "<>")
+    out = let(out, lambda t: F.when(t.contains(QUOTE_OPEN) | t.contains(QUOTE_CLOSE), _quotes(t)).otherwise(t))
+    return decode_entities(F.translate(out, ANGLE_OPEN + ANGLE_CLOSE, "<>"))
 
 
 def html_to_markdown(html: Column) -> Column:

@@ -40,8 +40,12 @@ def skip_stored_chunks(
 
 
 def first_by_key(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One whole row per key: that with the least hash of its columns, then the least columns."""
+    """One whole row per key: that with the least hash of its columns and of which of them are NULL."""
     rest = [name for name in rows.columns if name not in key]
-    digest = F.xxhash64(*[F.col(name) for name in rest]) if rest else F.lit(0)
-    first = F.min_by(F.struct(*rest) if rest else F.lit(0), digest).alias("_first")
+    if not rest:
+        return rows.distinct()
+    # the hash passes over NULLs, so it is told where they stand
+    marks = [F.col(f"`{name}`").isNull() for name in rest]
+    digest = F.struct(F.xxhash64(*[F.col(f"`{name}`") for name in rest], *marks), *marks)
+    first = F.min_by(F.struct(*rest), digest).alias("_first")
     return rows.groupBy(*key).agg(first).select(*[name if name in key else F.col(f"_first.{name}") for name in rows.columns])

@@ -13,7 +13,11 @@ from pressmill.operators.vectors import embed
 def ask(
     queries: DataFrame, index: DataFrame, k: int = K, dim: int = DIMENSIONS
 ) -> DataFrame:
-    """Context and prompts of each ``(query_id, query)`` against a vector table."""
+    """Context and prompts of each ``(query_id, query)`` against a vector table.
+
+    ``index`` is read by the search and again for the texts of the hits: a stored
+    table, as ``append_documents`` writes it, saves making its vectors twice.
+    """
     asked = embed(queries, "query", "query_vec", dim)
-    hits = nearest(asked, index, k)
+    hits = nearest(asked, index, k, dim=dim)
     return with_prompts(with_context(queries, hits, index, k=k))

@@ -52,7 +52,18 @@ def frozen(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/frozen-{uuid.uuid4().hex}"
     removed_at_end(spark, path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._frozen_at = path
+    return found
+
+
+def released(*tables: DataFrame) -> None:
+    """Remove tables that ``frozen`` wrote, once all that reads them has been written itself."""
+    for df in tables:
+        path = getattr(df, "_frozen_at", None)
+        if path:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def removed_at_end(spark: SparkSession, path: str) -> None:

@@ -323,3 +323,24 @@ def test_parse_without_header(one):
 def test_last_label_counts(one):
     header = one(parse_header, "# T\nSource: [a](a)\nSource: [b](b)\nReading time: x: 4 \n---\nbody")
     assert (header["source_url"], header["reading_time"]) == ("b", "4")
+
+
+NESTED = {
+    "a \ue000 x \ue001 b \ue004 c \ue00a b \ue00b d \ue00f1\ue010": "a \ue000 x \ue001 b \ue004 c \ue00a b \ue00b d \ue00f1\ue010",
+    "<ol><li>a<ol><li>x</li><li>y</li></ol></li><li>b</li></ol>": "1. a\n  1. x\n  2. y\n2. b",
+    "<ul><li>a<ol start=3><li>x</li><li>y</li></ol></li><li>b</li></ul><p>end</p>": "- a\n  3. x\n  4. y\n- b\n\nend",
+    "<ol><li>a<ul><li>x</li></ul></li><li>b</li></ol><ol><li>c</li></ol>": "1. a\n  - x\n2. b\n\n1. c",
+    "<blockquote>a<blockquote>b</blockquote>c</blockquote>z": "> a\n>\n> > b\n>\n> c\n\nz",
+    "<p>t</p><blockquote><p>one</p><p>two</p></blockquote><p>u</p><blockquote>three": "t\n\n> one\n>\n> two\n\nu\n\n> three",
+    "x</blockquote>y": "xy",
+    "<table><tr><th>A</th><th>B</th></tr><tr><td>x<table><tr><td>in1</td><td>in2</td></tr></table></td><td>y</td></tr></table>":
+        "| A | B |\n| --- | --- |\n| x in1 in2 | y |",
+    "<p><b>x<b>y</b>z</b> and <i>k<em>l</em></i></p>": "**xyz** and *kl*",
+    "<p><b>x <i>y</i></b></p>": "**x *y***",
+    "a &#57344; b <a href='http://x'>http://x</a>": "a \ue000 b <http://x>",
+    "<ol><li>p</li><li>q</li></ol>": "1. p\n2. q",
+}
+
+
+def test_nested_elements_and_private_characters(each):
+    assert dict(zip(NESTED, each(html_to_markdown, list(NESTED)), strict=True)) == NESTED

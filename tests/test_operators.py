@@ -379,3 +379,25 @@ def test_one_chunk_per_key_whatever_the_run(spark):
     stored = chunks.filter("path = 'q'")
     found = {tuple(sorted(map(tuple, incremental.skip_stored_chunks(chunks.repartition(n), stored).collect()))) for n in (1, 3, 7)}
     assert len(found) == 1 and [r[:2] for r in found.pop()] == [("p", 1), ("p", 2)]
+
+
+def test_first_by_key_tells_nulls_apart(spark):
+    from pressmill.operators.incremental import first_by_key
+
+    rows = [(1, None, "x"), (1, "x", None), (1, None, None), (1, "x", "x")]
+    found = set()
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        df = spark.createDataFrame(order, "k int, a string, b string").repartition(3)
+        found.add(tuple(first_by_key(df, ["k"]).first()))
+    assert len(found) == 1
+    assert first_by_key(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"]).count() == 2
+
+
+def test_released_tables_are_gone(spark):
+    import os
+
+    from pressmill.session import frozen, released
+
+    kept, gone = frozen(spark.range(5)), frozen(spark.range(6))
+    released(gone, spark.range(1))
+    assert kept.count() == 5 and os.path.isdir(kept._frozen_at) and not os.path.isdir(gone._frozen_at)
