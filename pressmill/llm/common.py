@@ -6,9 +6,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.session import frozen
+from pressmill.session import frozen, released
 
-__all__ = ["ascii_lower", "column_bytes", "crc_remainder", "fresh", "frozen", "only", "record_batch"]
+__all__ = ["ascii_lower", "column_bytes", "crc_remainder", "fresh", "frozen", "only", "record_batch", "released"]
 
 
 def crc_remainder(key: Column, modulus: int) -> Column:

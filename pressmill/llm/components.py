@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import frozen
+from pressmill.llm.common import frozen, released
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,10 +42,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     digest = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
     before = None
     while True:
-        edges = frozen(_small_star(_large_star(edges)))
+        last, edges = edges, frozen(_small_star(_large_star(edges)))
+        released(last)
         now = edges.agg(digest.alias("d")).first()["d"]
         if now == before:
             break
         before = now
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    found._frozen_at = edges._frozen_at  # so that ``released`` removes what it reads
+    return found

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressmill.llm import golay
-from pressmill.llm.common import column_bytes, fresh, frozen, record_batch
+from pressmill.llm.common import column_bytes, fresh, frozen, record_batch, released
 from pressmill.llm.components import connected_components
 from pressmill.llm.similar import similar_links
 
@@ -142,7 +142,9 @@ def links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     )
     least = stars.groupBy("word").agg(F.min("b").alias("a"), F.count(F.lit(1)).alias("held")).filter("held > 1")
     tied = stars.join(least.drop("held"), "word").filter("a <> b").select("a", "b")
-    return met.unionByName(tied).distinct()
+    found = met.unionByName(tied).distinct()
+    found._reads = (keyed, crowded)  # for ``released``
+    return found
 
 
 def _members(docs: DataFrame, size: int, crowd: int, wide: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -150,13 +152,18 @@ def _members(docs: DataFrame, size: int, crowd: int, wide: bool = False) -> tupl
     rows = frozen(fingerprints(docs, size))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("first")
     prints = frozen(rows.groupBy("fingerprint").agg(first))
-    grouped = connected_components(links(prints, crowd)).withColumnRenamed("node", "fingerprint")
+    linked = links(prints, crowd)
+    components = connected_components(linked)
+    released(*linked._reads)
+    grouped = components.withColumnRenamed("node", "fingerprint")
     held = prints.join(grouped, "fingerprint", "left").withColumn(
         "component", F.coalesce("component", "fingerprint")
     )
     held = frozen(held)
+    released(prints, components)
     if wide:
-        held = frozen(_widened(docs, rows, held))
+        close, held = held, frozen(_widened(docs, rows, held))
+        released(close)
     firsts = held.groupBy("component").agg(F.min("first").alias("first"))
     return rows, held.select("fingerprint", "component").join(firsts, "component")
 
@@ -180,7 +187,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, crowd: int = CROWD) ->
 
 def _widened(docs: DataFrame, rows: DataFrame, held: DataFrame) -> DataFrame:
     """The fingerprints with components that texts of alike shingles join."""
-    texts = docs.select(text_digest(F.col("text").cast("string")).alias("node"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    place = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+    texts = docs.select(text_digest(text).alias("node"), place.alias("place"), text.alias("text"))
     found = similar_links(texts)
     of = frozen(rows.select("digest", "fingerprint").distinct().join(held.select("fingerprint", "component"), "fingerprint").select("digest", "component"))
     ends = [of.select(F.col("digest").alias(end), F.col("component").alias(f"{end}_part")) for end in "ab"]

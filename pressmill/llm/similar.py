@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import frozen, record_batch
+from pressmill.llm.common import frozen, record_batch, released
 from pressmill.llm.components import connected_components
 from pressmill.llm.decontamination import Words
 from pressmill.llm.encoding import batches_of
@@ -136,7 +136,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return frozen(both.mapInArrow(run, "a long, b long"))
+    found = frozen(both.mapInArrow(run, "a long, b long"))
+    released(pairs)
+    return found
 
 
 def _first_pairs(met: DataFrame) -> DataFrame:
@@ -176,15 +178,21 @@ def similar_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """``a`` and ``b``: links between nodes whose texts are alike.
 
     Alike texts that share a key are linked or in one component of the links.
-    ``texts`` has a ``node`` (a number that equal texts share) and a ``text``; it
-    is read twice. Texts without words have no links.
+    ``texts`` has a ``node`` (a number that equal texts share), a ``text`` and,
+    where texts repeat, a ``place`` (a number that tells such rows apart); it is
+    read twice. Of each text one row is sent to where its shingles
+    are made, so copies of a text don't meet. Texts without words have no links.
     """
+    if "place" not in texts.columns:
+        texts = texts.withColumn("place", F.lit(0).cast("long"))
     keyed = frozen(_keyed(texts.select("node", "text")))
     counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
     met = frozen(keyed.join(counts, "key"))
+    released(keyed)
     wanted = met.select("node").distinct()
-    few = texts.select("node", "text").join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    sets = frozen(_sets(few))
+    first = texts.groupBy("node").agg(F.min("place").alias("place")).join(wanted, "node", "left_semi")
+    one = texts.join(first, ["node", "place"], "left_semi")
+    sets = frozen(_sets(one.groupBy("node").agg(F.first("text").alias("text"))))
     links = _alike(_first_pairs(met), sets, least)
     crowd = met.filter(F.col("held") > FEW)
     most = crowd.agg(F.max("held").alias("held")).first()["held"] or 0
@@ -192,13 +200,17 @@ def similar_links(texts: DataFrame, least: float = SIMILARITY) -> DataFrame:
     turn = F.pmod(F.xxhash64("key", "node"), F.lit(1 << 40)) / float(1 << 40) * F.col("held")
     start, end = 0, FIRST
     while start < most:
-        parts = connected_components(links).withColumnRenamed("component", "part")
+        components = connected_components(links)
+        parts = components.withColumnRenamed("component", "part")
         parted = crowd.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
         several = parted.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
         left = frozen(parted.join(several.select("key"), "key", "left_semi").withColumn("turn", turn))
+        released(components)
         if left.isEmpty():
             break
         marked = frozen(left.join(sets.drop("shingles"), "node"))
         links = links.unionByName(_alike(_across(marked, start, end, least), sets, least))
+        released(left, marked)
         start, end = end, end * GROWTH
+    released(met, sets)
     return links
