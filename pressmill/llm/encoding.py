@@ -22,10 +22,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of pieces and ids a worker remembers, and of the longest piece that it does.
-REMEMBERED = 160 << 20
+REMEMBERED = 64 << 20
 LONGEST = 64
 #: Bytes of text that are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
