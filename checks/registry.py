@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import markdown_chunks, oracles, queries, search, stateful, weighted
+from checks import markdown_chunks, oracles, queries, search, stateful, stored, weighted
 
-MODULES = [search, markdown_chunks, weighted, stateful]
+MODULES = [search, markdown_chunks, weighted, stateful, stored]
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -58,6 +58,24 @@ def list_article_files(spark: SparkSession, path: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "path string, text string")
+    return _path_and_text(files)
+
+
+def stream_article_files(spark: SparkSession, path: str, files_per_batch: int = 10_000) -> DataFrame:
+    """The same of Markdown files as they land, each file once.
+
+    The folder needs an ``issue-*`` folder when the stream starts; folders that
+    come later are seen too. A file is read when it is first listed, so it must be
+    moved into place whole, as ``write_article_files`` does.
+    """
+    files = (
+        spark.readStream.option("maxFilesPerTrigger", files_per_batch)
+        .text(f"{path}/issue-*", wholetext=True, pathGlobFilter="*.md")
+    )
+    return _path_and_text(files)
+
+
+def _path_and_text(files: DataFrame) -> DataFrame:
     return files.select(
         F.regexp_extract("_metadata.file_path", r"issue-[^/]*/[^/]*\z", 0).alias("path"),
         sub(F.col("value"), r"\r\n?", "\n").alias("text"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.operators.incremental import first_by_key, skip_stored_chunks
 from pressmill.operators.markdown import with_article_text
+from pressmill.session import frozen, released
 from pressmill.sources.tables import read_table, within_range
 
 
@@ -14,12 +15,44 @@ def save_articles(articles: DataFrame, path: str) -> None:
     """Write each article's file text, one folder per issue.
 
     The folders of the issues that are written are replaced, all others stay,
-    so the input must hold every article of an issue it touches. The rebalance
-    hint sizes the files and splits an issue that is large by itself. Of articles
-    with one path one is written.
+    so the input must hold every article of an issue it touches; ``merge_articles``
+    replaces single ones. The rebalance hint sizes the files and splits an issue
+    that is large by itself. Of articles with one path one is written.
     """
+    _write_issues(_stored_rows(articles), path)
+
+
+def merge_articles(articles: DataFrame, path: str) -> None:
+    """Write articles one by one: a stored one of the same path is replaced, the others of its issue stay.
+
+    Only the folders of the issues that are touched are read, joined and written
+    again. What they will hold is written to the shared folder first, so a run that
+    is lost on the way can be run again. Articles without an issue share a folder
+    of their own; a NULL path, which such articles have, replaces nothing but a
+    row that is the same in all columns.
+    """
+    stored = read_table(articles.sparkSession, path)
+    if stored is None:
+        return save_articles(articles, path)
+    given = frozen(_stored_rows(articles))
+    kind = given.schema["issue_num"].dataType
+    stored = stored.select(*[name for name in given.columns if name != "issue_num"], F.col("issue_num").cast(kind))
+    touched = given.select("issue_num").distinct()
+    held = stored.filter("issue_num is not null").join(touched, "issue_num", "left_semi")
+    if not touched.filter("issue_num is null").isEmpty():
+        held = held.unionByName(stored.filter("issue_num is null"))
+    kept = held.join(given.select("path"), "path", "left_anti")
+    merged = frozen(given.unionByName(kept.select(*given.columns)).distinct())
+    _write_issues(merged, path)
+    released(given, merged)
+
+
+def _stored_rows(articles: DataFrame) -> DataFrame:
     rows = with_article_text(articles).select("path", "text", "title", "url", "issue_num")
-    rows = first_by_key(rows, ["path"])
+    return first_by_key(rows, ["path"])
+
+
+def _write_issues(rows: DataFrame, path: str) -> None:
     (
         rows.hint("rebalance", "issue_num")
         .write.mode("overwrite")

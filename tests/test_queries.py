@@ -22,6 +22,10 @@ FEW = [
     "nearest_approximate",
     "dirty_page_markdown",
     "article_files",
+    "merged_articles",
+    "bucketed_chunks",
+    "stream_files",
+    "stream_counts",
 ]
 
 
