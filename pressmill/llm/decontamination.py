@@ -8,12 +8,13 @@ they occur, is at least 0.8.
 1. Positions of a document whose shingle an item has are looked up in the items'
    shingle hashes. A window without one has similarity 0 to every item, so only
    windows over such a position, of the sizes of the items that have the shingle,
-   are fingerprinted; none that could be like an item is left out.
+   are fingerprinted; none that could be like an item is left out. Where a
+   document has fewer words than the item, all of it is the one window.
 2. Windows get 64-bit SimHashes, from running sums of the bits of their shingles.
    Eight blocks of eight bits find all items within ``RADIUS`` bits: 23 errors
-   can't put three in every block, so one has two or fewer, and a table per block
-   has the items within two bits of each value. A similarity of 0.8 gives about
-   10 +- 3 differing bits, unrelated windows 32 +- 4.
+   can't put three in every block, so one has two or fewer. The items are sorted by
+   each block's value; a window looks up the values within two bits of its own.
+   A similarity of 0.8 gives about 10 +- 3 differing bits, unrelated windows 32 +- 4.
 3. What remains is compared word by word.
 """
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pressmill.llm.common import record_batch
+from pressmill.llm.common import fresh, frozen, record_batch
 from pressmill.llm.encoding import batches_of
 from pressmill.llm.perfect_hash import mixed
 
@@ -37,7 +38,10 @@ RADIUS = 23
 BLOCKS = 8
 BLOCK_ERRORS = RADIUS // BLOCKS
 MOST_ITEM_BYTES = 32 << 20
+PAIRS_TOGETHER = 1 << 20  # pairs of window and item that are looked at in one step
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: The values within ``BLOCK_ERRORS`` bits of zero; xor with them gives those around any value.
+NEAR_VALUES = np.array([v for v in range(256) if v.bit_count() <= BLOCK_ERRORS], dtype=np.uint8)
 WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 
 
@@ -129,20 +133,33 @@ class Sized:
         self.counts = [shingle_counts(one, size) for one in words]
         width = length - size + 1
         self.prints = np.concatenate([simhashes(shingle_bits(h), np.array([0]), width) for h in hashes])
-        values = np.arange(256, dtype=np.uint8)
         blocks = self.prints.view(np.uint8).reshape(-1, BLOCKS)
-        self.near = np.stack([np.bitwise_count(values[:, None] ^ blocks[None, :, b]) <= BLOCK_ERRORS for b in range(BLOCKS)])
+        self.sorted = np.argsort(blocks, axis=0, kind="stable")
+        ends = [np.searchsorted(blocks[self.sorted[:, b], b], np.arange(257)) for b in range(BLOCKS)]
+        self.ends = np.stack(ends).astype(np.int64)
 
-    def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window, item and distance of all pairs within the radius, by the tables of the blocks."""
+    def candidates(self, prints: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Window, item and distance of all pairs within the radius, in parts; each pair comes with its first block."""
         blocks = prints.view(np.uint8).reshape(-1, BLOCKS)
-        met = np.zeros((len(prints), len(self.prints)), dtype=bool)
         for b in range(BLOCKS):
-            met |= self.near[b][blocks[:, b]]
-        window, item = np.nonzero(met)
-        apart = np.bitwise_count(prints[window] ^ self.prints[item])
-        close = apart <= RADIUS
-        return window[close], item[close], apart[close]
+            near = blocks[:, b, None] ^ NEAR_VALUES
+            first, count = self.ends[b][near].ravel(), (self.ends[b][near.astype(np.int64) + 1] - self.ends[b][near]).ravel()
+            upto = np.cumsum(count)
+            total, start = int(upto[-1]) if len(upto) else 0, 0
+            while start < total:
+                # places start .. stop - 1 of the list of all pairs of this block
+                stop = min(total, start + PAIRS_TOGETHER)
+                place = np.arange(start, stop)
+                cell = np.searchsorted(upto, place, "right")
+                item = self.sorted[first[cell] + place - (upto[cell] - count[cell]), b]
+                window = cell // len(NEAR_VALUES)
+                differ = prints[window] ^ self.prints[item]
+                close = np.flatnonzero(np.bitwise_count(differ) <= RADIUS)
+                before = np.bitwise_count(differ[close].view(np.uint8).reshape(-1, BLOCKS)[:, :b])
+                close = close[(before > BLOCK_ERRORS).all(axis=1)]
+                if len(close):
+                    yield window[close], item[close], np.bitwise_count(differ[close])
+                start = stop
 
 
 class Items:
@@ -187,11 +204,21 @@ class Items:
 
     def _windows(self, found: Words, hashes: np.ndarray, hits: np.ndarray, sized: Sized, best: dict) -> None:
         """Fingerprints all windows over the hits and keeps what is like an item."""
-        width = sized.length - sized.size + 1
+        words = np.diff(found.first)[found.text[hits]]
+        self._spans(found, hashes, hits[words >= sized.length], sized, sized.length, best)
+        # a text of fewer words is one window; with too few it can't be like the item whatever they are
+        enough = (words - sized.size + 1) / (sized.length - sized.size + 1) >= SIMILARITY
+        short = (words < sized.length) & enough
+        for length in np.unique(words[short]).tolist():
+            self._spans(found, hashes, hits[short & (words == length)], sized, length, best)
+
+    def _spans(self, found: Words, hashes: np.ndarray, hits: np.ndarray, sized: Sized, length: int, best: dict) -> None:
+        """The same for windows of ``length`` words."""
+        width = length - sized.size + 1
         for part in np.array_split(hits, max(1, len(hits) * width // 200_000)) if len(hits) else []:
             text = found.text[part]
             low = np.maximum(part - width + 1, found.first[text])
-            high = np.minimum(part, found.first[text + 1] - sized.length)
+            high = np.minimum(part, found.first[text + 1] - length)
             spans = [np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist(), strict=True) if a <= b]
             if not spans:
                 continue
@@ -203,48 +230,57 @@ class Items:
                 np.add.at(mark, starts - starts[0] + width, -1)
                 rows = np.flatnonzero(np.cumsum(mark) > 0) + starts[0]
             prints = simhashes(shingle_bits(hashes[rows]), np.searchsorted(rows, starts), width)
-            window, item, apart = sized.candidates(prints)
-            for at in np.argsort(apart, kind="stable").tolist():
-                start, chosen = int(starts[window[at]]), int(item[at])
-                key = (int(found.text[start]), int(sized.items[chosen]))
-                known = best.get(key)
-                if known and known[0] == 1.0:
-                    continue
-                score = weighted_similarity(shingle_counts(found.words(start, sized.length), sized.size), sized.counts[chosen])
-                begin = start - int(found.first[key[0]])
-                if score >= SIMILARITY and (not known or (score, -begin) > (known[0], -known[1])):
-                    best[key] = (score, begin, sized.length)
-
-
-def item_groups(benchmark: DataFrame, most_bytes: int = MOST_ITEM_BYTES) -> list[list[tuple[int, str]]]:
-    """The items in groups that each fit a task's memory; a benchmark is a small table, read by the driver in turn."""
+            for window, item, apart in sized.candidates(prints):
+                self._verify(found, sized, length, starts[window], item, apart, best)
+
+    def _verify(self, found: Words, sized: Sized, length: int, starts: np.ndarray, items: np.ndarray, apart: np.ndarray, best: dict) -> None:
+        """Keeps the best window of each text and item, the first of equally good ones."""
+        for at in np.argsort(apart, kind="stable").tolist():
+            start, chosen = int(starts[at]), int(items[at])
+            key = (int(found.text[start]), int(sized.items[chosen]))
+            begin = start - int(found.first[key[0]])
+            known = best.get(key)
+            if known and known[0] == 1.0 and known[1] <= begin:
+                continue
+            score = weighted_similarity(shingle_counts(found.words(start, length), sized.size), sized.counts[chosen])
+            if score >= SIMILARITY and (not known or (score, -begin) > (known[0], -known[1])):
+                best[key] = (score, begin, length)
+
+
+def item_groups(benchmark: DataFrame, most_bytes: int = MOST_ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
+    """The items in groups that each fit a task's memory, one at a time, those of one id together; one group may be empty."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).filter("item_id is not null").distinct()
-    groups, held = [[]], 0
+    group, held = [], 0
     for row in rows.orderBy("item_id", "text").toLocalIterator():
-        if held and held + len(row.text) > most_bytes:
-            groups.append([])
-            held = 0
-        groups[-1].append((row.item_id, row.text))
+        if held and held + len(row.text) > most_bytes and row.item_id != group[-1][0]:
+            yield group
+            group, held = [], 0
+        group.append((row.item_id, row.text))
         held += len(row.text)
-    return groups
+    yield group
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
     """``doc_id``, ``item_id``, ``similarity``, ``first_word`` and ``n_words`` of every document and item alike.
 
     ``docs`` needs ``doc_id`` and ``text``, ``benchmark`` needs ``item_id`` and
     ``text``; other columns are ignored. One row tells of the best window of an
-    item in a document, of equally good ones that met first by the distance of
-    fingerprints. NULL and empty texts match nothing, items without an id are
-    left out; items of fewer than five words are one shingle. Repeated documents
-    come out as often as they went in, repeated items count once. Items are sent
-    to the tasks in groups of bounded size, with one pass over the documents each.
+    item in a document, the first of equally good ones; a document of fewer words
+    than the item is one window. NULL and empty texts match nothing, items without
+    an id are left out; items of fewer than five words are one shingle. Repeated
+    documents come out as often as they went in, repeated items count once. Items are sent to the tasks in groups of about
+    ``most_bytes``, with one pass over the documents each.
     """
+    groups = item_groups(benchmark, most_bytes)
+    rows, after = next(groups), next(groups, None)
+    if after is None:
+        return _pass(docs, rows)
     found = None
-    for rows in item_groups(benchmark):
-        part = _pass(docs, rows)
-        found = found.unionByName(part) if found else part
+    while rows is not None:
+        part = frozen(_pass(docs, rows))
+        found = found.unionByName(part) if found is not None else part
+        rows, after = after, next(groups, None)
     return found
 
 
@@ -283,8 +319,23 @@ def is_contaminated(text: Column, rows: list[tuple[int, str]]) -> Column:
     return told(text)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has no window like an item; NULL texts stay."""
-    for rows in item_groups(benchmark):
-        docs = docs.filter(~is_contaminated(F.col("text").cast("string"), rows))
-    return docs
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has no window like an item; NULL texts stay.
+
+    A benchmark of one group is a filter. Of a larger one each group leaves the
+    digests of the texts that it meets, and the rows with those go.
+    """
+    groups = item_groups(benchmark, most_bytes)
+    rows, after = next(groups), next(groups, None)
+    text = F.col("text").cast("string")
+    if after is None:
+        return docs.filter(~is_contaminated(text, rows))
+    (digest,) = fresh(docs, "digest")
+    met = None
+    while rows is not None:
+        hit = docs.select(text.alias("text")).filter(is_contaminated(F.col("text"), rows))
+        part = frozen(hit.select(F.sha2("text", 256).alias(digest)).distinct())
+        met = met.unionByName(part) if met is not None else part
+        rows, after = after, next(groups, None)
+    marked = docs.withColumn(digest, F.sha2(text, 256))
+    return marked.join(met, digest, "left_anti").select(*[F.col(f"`{name}`") for name in docs.columns])

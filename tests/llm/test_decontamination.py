@@ -22,9 +22,9 @@ def by_hand(docs, items):
             if not own:
                 continue
             target = Counter(tuple(own[i : i + size]) for i in range(len(own) - size + 1))
-            for start in range(len(words) - len(own) + 1):
+            for start in range(max(0, len(words) - len(own)) + 1):
                 window = words[start : start + len(own)]
-                bag = Counter(tuple(window[i : i + size]) for i in range(len(own) - size + 1))
+                bag = Counter(tuple(window[i : i + size]) for i in range(len(window) - size + 1))
                 shared = sum((bag & target).values())
                 score = shared / (sum(bag.values()) + sum(target.values()) - shared)
                 if score >= 0.8:
@@ -49,6 +49,10 @@ def sample():
             words[at:at] = passage
         text = rng.choice([" ", "\n", "!! "]).join(words)
         docs.append((n, text.upper() if n % 5 == 0 else text))
+    for n, (_, item) in enumerate(items[:25]):
+        # an item and nothing else, with its end or start cut off
+        words, cut = item.split(), n % 3
+        docs.append((300 + n, " ".join(words[cut:] if n % 2 else words[: len(words) - cut])))
     docs += [(500, None), (501, ""), (502, "x the " * 9000 + items[3][1]), (503, "THREE, little: words"), docs[7], docs[7], (None, items[1][1])]
     return docs, items
 
@@ -76,7 +80,7 @@ def test_groups_of_items(spark):
     assert [len(g) for g in dc.item_groups(benchmark, 100)] == [2] * 5
 
 
-def test_blocks_find_all_within_the_radius():
+def test_blocks_find_all_within_the_radius(monkeypatch):
     rng = np.random.default_rng(0)
     hashes = [rng.integers(0, 1 << 63, 30, dtype=np.int64).view(np.uint64) for _ in range(40)]
     sized = dc.Sized(34, 5, list(range(40)), [[b"w"] * 34] * 40, hashes)
@@ -87,6 +91,32 @@ def test_blocks_find_all_within_the_radius():
             value ^= 1 << bit
         near.append(value)
     prints = np.array(near, dtype=np.uint64)
-    window, item, _ = sized.candidates(prints)
     distance = np.bitwise_count(prints[:, None] ^ sized.prints[None, :])
-    assert set(zip(window.tolist(), item.tolist(), strict=True)) == set(zip(*np.nonzero(distance <= dc.RADIUS), strict=True))
+    want = sorted(zip(*[a.tolist() for a in np.nonzero(distance <= dc.RADIUS)], strict=True))
+    for together in (1 << 20, 97):
+        monkeypatch.setattr(dc, "PAIRS_TOGETHER", together)
+        got = []
+        for window, item, apart in sized.candidates(prints):
+            got += zip(window.tolist(), item.tolist(), strict=True)
+            assert (distance[window, item] == apart).all()
+        assert sorted(got) == want
+
+
+def test_a_long_item_without_its_ends_is_found(spark):
+    words = [f"w{n}" for n in range(50)]
+    cuts = {1: words[:-1], 2: words[1:], 3: words[4:-4], 4: words[6:-6], 5: words[:4], 6: ["other", *words[:-1]]}
+    docs = spark.createDataFrame([(n, " ".join(one)) for n, one in cuts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (round(r.similarity, 6), r.first_word, r.n_words) for r in dc.contaminated(docs, benchmark).collect()}
+    assert got == {1: (round(45 / 46, 6), 0, 49), 2: (round(45 / 46, 6), 0, 49), 3: (round(38 / 46, 6), 0, 42), 6: (round(45 / 47, 6), 0, 50)}
+    assert sorted(r.doc_id for r in dc.drop_contaminated(docs, benchmark).collect()) == [4, 5]
+
+
+def test_several_groups_give_the_same(spark):
+    docs, items = sample()
+    given = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, digest string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole, parts = [Counter(tuple(r) for r in dc.contaminated(given, benchmark, size).collect()) for size in (1 << 20, 600)]
+    assert whole == parts and len(list(dc.item_groups(benchmark, 600))) > 5
+    kept, left = [Counter(tuple(r) for r in dc.drop_contaminated(given, benchmark, size).collect()) for size in (1 << 20, 600)]
+    assert kept == left and 0 < kept.total() < len(docs)
