@@ -6,9 +6,10 @@ states follow each other and emit classes; a class gives one of its words by
 add-one smoothed counts. So the model sent to the tasks has one size whatever the
 corpus holds, while word counts, which grow with it, stay in tables.
 
-Training: word counts over all training documents; states started on a bounded
-sample; then Baum-Welch rounds over all training documents, whose expected counts
-are made in the tasks and added up by Spark. Long documents are cut into segments
+Training, each step over all training documents, with tables of one size added up
+by Spark: word counts; profiles of the classes, which tell in the company of which
+others a class stands, and whose groups start the states; Baum-Welch rounds by
+expected counts made in the tasks. Long documents are cut into segments
 for these rounds only. Scoring: the scaled forward recursion over each whole
 document. Counts of frequent words are sent along, those of others are joined.
 """
@@ -17,7 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +34,8 @@ SHARED = 1024
 SUFFIX = 3
 FREQUENT = 65536
 ROUNDS = 2
-SAMPLE_DOCUMENTS, SAMPLE_ROUNDS = 300, 12
+PROFILE = 16  # signs that stand for a class where states are started
+FAVOUR = 8.0
 SEGMENT = 512
 BATCH_TOKENS = 400_000
 FLUSH_WORDS = 200_000
@@ -180,15 +182,19 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> DataFrame:
 
     Words fall into steps of an eighth of a doubling of their count, a few hundred
     at most; the highest steps that fit are taken whole, so no task sends more than is kept.
+    Of a highest step that doesn't fit by itself the first words by count and bytes are taken.
     """
     step = F.floor(8 * F.log2(F.col("count").cast("double"))).cast("int")
     held, least = 0, None
-    for row in sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True):
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).collect(), reverse=True)
+    for row in steps:
         held += row["words"]
         if held > most:
             break
         least = row["step"]
-    return counts.filter(step >= least) if least is not None else counts.limit(0)
+    if least is not None:
+        return counts.filter(step >= least)
+    return counts.filter(step == steps[0]["step"]).orderBy(F.desc("count"), "word").limit(most) if steps else counts.limit(0)
 
 
 @dataclass
@@ -285,45 +291,93 @@ def _classes(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(one, "<u2") for one in column.to_pylist()]
 
 
-def baum_welch_round(coded: DataFrame, model: Hmm, shares: np.ndarray) -> Hmm:
-    """One round over all rows: expected counts per task, added up by row of the table of counts."""
-    states = len(model.start)
-    names = [f"s{n}" for n in range(states)]
+def summed_rows(coded: DataFrame, size: tuple[int, int], of: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of a table made of the classes of some documents; added up per task, then by row."""
+    names = [f"s{n}" for n in range(size[1])]
     schema = pa.schema([("row", pa.int32()), *[(name, pa.float64()) for name in names]])
-    sent = coded.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        total = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                counts = summed_counts(sent.value, _classes(batch.column(0)))
-                total = counts if total is None else total + counts
-        if total is not None:
-            rows = np.flatnonzero(total.any(axis=1))
-            yield record_batch(schema, [rows.astype(np.int32), *[total[rows, n] for n in range(states)]])
+                total += of(_classes(batch.column(0)))
+        rows = np.flatnonzero(total.any(axis=1))
+        yield record_batch(schema, [rows.astype(np.int32), *[total[rows, n] for n in range(size[1])]])
 
     parts = coded.select("classes").mapInArrow(run, ", ".join(["row int", *[f"{name} double" for name in names]]))
-    counts = np.zeros((1 + states + CLASSES, states))
+    out = np.zeros(size)
     for row in parts.groupBy("row").agg(*[F.sum(name).alias(name) for name in names]).collect():
-        counts[row["row"]] = [row[name] for name in names]
+        out[row["row"]] = [row[name] for name in names]
+    return out
+
+
+def baum_welch_round(coded: DataFrame, model: Hmm, shares: np.ndarray) -> Hmm:
+    """One round over all rows."""
+    states = len(model.start)
+    sent = coded.sparkSession.sparkContext.broadcast(model)
+    counts = summed_rows(coded, (1 + states + CLASSES, states), lambda classes: summed_counts(sent.value, classes))
     return Hmm.from_counts(counts, shares)
 
 
+def profile_sums(classes: list[np.ndarray], signs: np.ndarray) -> np.ndarray:
+    """Per class, over the places it stands at, the sum of the mean sign row of the document there."""
+    total = np.zeros(signs.shape)
+    start = 0
+    while start < len(classes):
+        upto, held = start, 0
+        while upto < len(classes) and held < BATCH_TOKENS:
+            held += len(classes[upto])
+            upto += 1
+        part = classes[start:upto]
+        flat, sizes = np.concatenate(part).astype(np.int64), np.array([len(one) for one in part])
+        means = np.add.reduceat(signs[flat], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+        for n in range(signs.shape[1]):
+            total[:, n] += np.bincount(flat, np.repeat(means[:, n], sizes), len(total))
+        start = upto
+    return total
+
+
+def class_groups(profiles: np.ndarray, weights: np.ndarray, groups: int, rounds: int = 30) -> np.ndarray:
+    """Number of the group of each class, by weighted k-means; centres start far from each other."""
+    centres = [np.average(profiles, axis=0, weights=weights)]
+    apart = np.full(len(profiles), np.inf)
+    for _ in range(groups):
+        apart = np.minimum(apart, ((profiles - centres[-1]) ** 2).sum(axis=1))
+        centres.append(profiles[int(np.argmax(apart * weights))])
+    places = np.stack(centres[1:])
+    for _ in range(rounds):
+        chosen = np.argmin(((profiles[:, None, :] - places[None]) ** 2).sum(axis=2), axis=1)
+        held = np.bincount(chosen, weights, groups)
+        for n in range(profiles.shape[1]):
+            sums = np.bincount(chosen, weights * profiles[:, n], groups)
+            places[:, n] = np.where(held > 0, sums / np.maximum(held, 1e-300), places[:, n])
+    return chosen
+
+
+def started(training: DataFrame, shares: np.ndarray, seed: int = 5) -> Hmm:
+    """States that each favour a group of classes found in the same documents.
+
+    A random row of signs stands for each class, less their mean by the shares, so
+    the mean row of a document is zero but for what it has more of than others.
+    """
+    signs = np.random.default_rng(seed).choice([-1.0, 1.0], (CLASSES, PROFILE))
+    signs -= shares @ signs
+    sent = training.sparkSession.sparkContext.broadcast(signs)
+    sums = summed_rows(training, signs.shape, lambda classes: profile_sums(classes, sent.value))
+    model = Hmm.fresh(shares)
+    chosen = class_groups(sums / shares[:, None], shares, len(model.start))
+    favour = np.where(chosen[:, None] == np.arange(len(model.start)), FAVOUR, 1.0)
+    emits = model.emits * favour
+    return Hmm(model.start, model.later, model.moves, emits / emits.sum(axis=0))
+
+
 def trained(coded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Hmm:
-    """The model of the training rows. A bounded sample of them, by a hash, tells the states apart first."""
+    """The model of the training rows, all of which every round sees."""
     training = coded.filter(~F.col("held_out")).select("classes")
     shares = vocabulary.shares()
-    model = Hmm.fresh(shares)
-    # a share of the hashes first, so that tasks send few rows; then no more than asked for
-    mixed = F.xxhash64("row_id")
-    share = int(min(1.0, 1.5 * SAMPLE_DOCUMENTS / max(1, vocabulary.documents)) * (1 << 63)) - 1
-    few = coded.filter(~F.col("held_out") & (mixed.bitwiseAND((1 << 63) - 1) <= share))
-    few = few.orderBy(mixed, "row_id").limit(SAMPLE_DOCUMENTS).select("classes").collect()
-    sample = [np.frombuffer(row.classes, "<u2") for row in few]
-    if not sample:
-        return model
-    for _ in range(SAMPLE_ROUNDS):
-        model = Hmm.from_counts(summed_counts(model, sample), shares)
+    if not vocabulary.documents:
+        return Hmm.fresh(shares)
+    model = started(training, shares)
     for _ in range(rounds):
         model = baum_welch_round(training, model, shares)
     return model

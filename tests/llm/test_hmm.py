@@ -101,3 +101,32 @@ def test_frequent_words_are_bounded_and_whole_steps(spark):
         rest = sorted(c for _, c in rows)[: len(rows) - len(got)]
         assert len(got) <= most and (not rest or not got or max(rest) < min(got))
     assert hmm.frequent_words(counts.limit(0)).collect() == []
+
+
+def test_many_words_of_one_count_give_the_first_of_them(spark):
+    counts = spark.createDataFrame([(f"w{n:04d}".encode(), 7) for n in range(500)], "word binary, count long")
+    assert sorted(bytes(r["word"]) for r in hmm.frequent_words(counts, 30).collect()) == [f"w{n:04d}".encode() for n in range(30)]
+
+
+def test_states_start_from_classes_of_the_same_documents(spark):
+    rng = np.random.default_rng(2)
+    runs = [rng.integers(n % 4 * 50, n % 4 * 50 + 50, rng.integers(1, 300)).astype("<u2") for n in range(200)]
+    shares = (np.bincount(np.concatenate(runs), minlength=hmm.CLASSES) + 1) / (sum(map(len, runs)) + hmm.CLASSES)
+    coded = spark.createDataFrame([(one.tobytes(),) for one in runs], "classes binary").repartition(5)
+    model = hmm.started(coded, shares)
+    favoured = np.argmax(model.emits[:200] / hmm.Hmm.fresh(shares).emits[:200], axis=1).reshape(4, 50)
+    kinds = [set(row) for row in favoured.tolist()]
+    # more states than kinds of documents: a kind may have several states, but no state has two kinds
+    assert len(set().union(*kinds)) == sum(map(len, kinds)) <= hmm.STATES
+    assert np.allclose(model.emits.sum(axis=0), 1)
+
+
+def test_profiles_equal_sums_by_hand():
+    rng = np.random.default_rng(4)
+    signs = rng.choice([-1.0, 1.0], (6, 3))
+    runs = [rng.integers(0, 6, n) for n in (1, 5, 9)]
+    want = np.zeros((6, 3))
+    for run in runs:
+        for one in run:
+            want[one] += signs[run].mean(axis=0)
+    assert np.allclose(hmm.profile_sums(runs, signs), want)
