@@ -22,8 +22,8 @@ from pressmill.operators import (
 
 INDEX = """
 <!-- <div class="table-issue"></div> -->
-<div class="table-issue"><p class="title-table-issue"><a href="/issues/1">One</a></p>
-  <p class="text-table-issue">1st October 2023</p></div>
+<div class="table-issue"><p class="title-table-issue"><a href="/issues/73">Seventy-three</a></p>
+  <p class="text-table-issue">23rd May 2021</p></div>
 <div class="row table-issue"><p class="title-table-issue"><a class="x" href="issues/2">Two</a></p>
   <p class="text-table-issue"> 22nd December 2023 </p></div>
 <div class="table-issues">none</div>
@@ -41,13 +41,13 @@ stray <div>untitled</div><div><a class='big post-title' href='/q'>Bare</a> 1 min
 
 def test_list_issues(spark):
     pages = spark.createDataFrame([("https://p.org/issues/", INDEX)], "url string, html string")
-    rows = extraction.list_issues(pages).orderBy("num").collect()
+    rows = extraction.list_issues(pages).orderBy("item_of.current").collect()
     assert [(r.num, r.url, r.date, tuple(r.item_of)) for r in rows] == [
-        (1, "https://p.org/issues/1", datetime.date(2023, 10, 1), (0, 2)),
+        (73, "https://p.org/issues/73", datetime.date(2021, 5, 23), (0, 2)),
         (2, "https://p.org/issues/2", datetime.date(2023, 12, 22), (1, 2)),
     ]
     first = extraction.list_issues(pages, limit=1).collect()
-    assert [(r.num, tuple(r.item_of)) for r in first] == [(1, (0, 2))]
+    assert [(r.num, tuple(r.item_of)) for r in first] == [(73, (0, 2))]
     assert extraction.list_issues(pages, limit=0).count() == 2
 
 
