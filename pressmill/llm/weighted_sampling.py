@@ -27,6 +27,8 @@ LEVELS = 1024
 HEX_DIGITS = 4
 TOGETHER = 4
 KEY = ["id", "no_id", "digest"]
+SPACES = " \t\n\x0b\x0c\r"
+SHA_PARTS = ["sha_0", "sha_1", "sha_2", "sha_3"]
 
 
 def gamma_quantiles(levels: int = LEVELS) -> list[float]:
@@ -46,8 +48,7 @@ def gamma_quantiles(levels: int = LEVELS) -> list[float]:
 
 def weighted_terms(text: Column) -> Column:
     """Sorted hashes of the words of a text; no words: that of the empty word."""
-    words = F.filter(F.split(ascii_lower(text), "[\\x20\\x09-\\x0D]+"), lambda word: word != "")
-    words = F.when(F.size(words) == 0, F.array(F.lit(""))).otherwise(words)
+    words = F.split(F.btrim(ascii_lower(text), F.lit(SPACES)), "[\\x20\\x09-\\x0D]+")
     return F.sort_array(F.transform(words, lambda word: F.xxhash64(word)))
 
 
@@ -156,10 +157,11 @@ def _neighbours(rows: DataFrame) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Key, text and edited text of every row; copies and the key of the next per distinct row.
+    """Key, text and edited text, and copies and the key of the next, once per distinct row.
 
     The last half of the code points (rounded down) gives way to as many of the
-    next row's first ones, or to all it has. Copies of one row count as one row.
+    next row's first ones, or to all it has. Copies of one row count as one row;
+    they are brought to one within the tasks that read them, before any shuffle.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     id_ = F.col("doc_id").cast("long")
@@ -173,12 +175,13 @@ def edited_pairs(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = frozen(_neighbours(rows))
     donors = near.select(*KEY, "previous")
     length = F.expr("cast(previous.n_chars div 2 as int)")
-    heads = base.join(donors, KEY).select(
+    texts = base.dropDuplicates(KEY)
+    heads = texts.join(donors, KEY).select(
         *[F.col(f"previous.{name}").alias(name) for name in KEY], F.left("text", length).alias("head")
     )
     n_chars = F.char_length("text")
     kept = F.left("text", (n_chars - F.floor(n_chars / 2)).cast("int"))
-    return base.join(heads, KEY).select(*KEY, "text", F.concat(kept, "head").alias("edited")), near.select(*KEY, "copies", "next")
+    return texts.join(heads, KEY).select(*KEY, "text", F.concat(kept, "head").alias("edited")), near.select(*KEY, "copies", "next")
 
 
 def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -192,16 +195,18 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     in. A table with one document is its own next; an empty one gives no rows.
     """
     pairs, near = edited_pairs(docs)
-    both = pairs.select(
-        *KEY,
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2("edited", 256).alias("edited_sha256"),
-        F.explode(F.array(F.struct(F.lit(False).alias("edited"), "text"), F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")))).alias("one"),
-    ).select(*KEY, "n_chars", "edited_sha256", F.col("one.edited").alias("edited"), F.col("one.text").alias("text"))
-    signed = signatures(both, [*KEY, "n_chars", "edited_sha256", "edited"], samples)
-    each = signed.groupBy(*KEY).agg(
-        F.max("n_chars").alias("n_chars"),
-        F.max("edited_sha256").alias("edited_sha256"),
+    sha = F.sha2("edited", 256)
+    parts = [F.conv(F.substring(sha, 16 * at + 1, 16), 16, -10).cast("long").alias(name) for at, name in enumerate(SHA_PARTS)]
+    # keys of fixed width: they are written and compared for every term and position
+    carried = [*KEY, "n_chars", *SHA_PARTS]
+    two = F.array(
+        F.struct(F.lit(False).alias("edited"), "text"),
+        F.struct(F.lit(True).alias("edited"), F.col("edited").alias("text")),
+    )
+    both = pairs.select(*KEY, F.char_length("text").cast("long").alias("n_chars"), *parts, F.explode(two).alias("one"))
+    both = both.select(*carried, F.col("one.edited").alias("edited"), F.col("one.text").alias("text"))
+    signed = signatures(both, [*carried, "edited"], samples)
+    each = signed.groupBy(*carried).agg(
         F.max(F.when(~F.col("edited"), F.col("fingerprint"))).alias("fingerprint"),
         F.max(F.when(F.col("edited"), F.col("fingerprint"))).alias("edited_fingerprint"),
     )
@@ -214,7 +219,7 @@ def fingerprint_pairs(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     return found.select(
         F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
         "n_chars",
-        "edited_sha256",
+        F.concat(*[F.lower(F.lpad(F.hex(name), 16, "0")) for name in SHA_PARTS]).alias("edited_sha256"),
         F.lower(F.hex("fingerprint")).alias("fingerprint"),
         F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),

@@ -65,6 +65,16 @@ def test_small_tables(spark):
     assert ws.fingerprint_pairs(docs.limit(0)).collect() == []
 
 
+def test_copies_stay_one_row_until_the_end(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 1000 + [(2, "b c d")] * 700 + [(3, None)] * 2, "doc_id long, text string")
+    pairs, near = ws.edited_pairs(docs)
+    assert (pairs.count(), near.count()) == (3, 3)
+    got = ws.fingerprint_pairs(docs).groupBy("doc_id", "edited_sha256").count().collect()
+    assert sorted((r.doc_id, r["count"]) for r in got) == [(1, 1000), (2, 700), (3, 2)]
+    edits = {1: "a b", 2: "b ca ", 3: ""}
+    assert {r.doc_id: r.edited_sha256 for r in got} == {n: hashlib.sha256(text.encode()).hexdigest() for n, text in edits.items()}
+
+
 def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "doc_id long, text string")
     plan = ws.signatures(docs, ["doc_id"])._jdf.queryExecution().toString()
