@@ -28,17 +28,17 @@ EPOCHS = 10
 RATE = 2.0
 SAMPLE = 3000
 FOLDS, HELD_OUT = 3, 1
-REMEMBERED = 400_000
+#: Words a scoring worker remembers, and characters of the longest of them.
+REMEMBERED, LONGEST = 400_000, 64
 ALWAYS, REPEAT = 0, 1
 
 
-def word_features(word: str) -> list[int]:
-    """Buckets of a word: itself and its character n-grams, ends marked."""
+def word_features(word: str) -> Iterator[int]:
+    """Buckets of a word: itself and its character n-grams, ends marked; one after the other, as words may be megabytes."""
     marked = f"<{word}>"
-    grams = [marked]
-    for size in (3, 4):
-        grams += [marked[at : at + size] for at in range(len(marked) - size + 1)]
-    return [zlib.crc32(gram.encode("utf-8", "surrogatepass")) % (BUCKETS - 2) + 2 for gram in grams]
+    for size in (len(marked), 3, 4):
+        for at in range(len(marked) - size + 1):
+            yield zlib.crc32(marked[at : at + size].encode("utf-8", "surrogatepass")) % (BUCKETS - 2) + 2
 
 
 def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -101,11 +101,14 @@ class Scorer:
             known.clear()
             missing = set(words)
         for word in missing:
-            buckets = word_features(word)
+            buckets = np.fromiter(word_features(word), np.uint32)
             known[word] = complex(float(odds[buckets].sum()), len(buckets))
         total = sum(map(known.__getitem__, words), complex(float(odds[ALWAYS]), 1))
         repeats = 8 * sum(map(eq, words, words[1:]))
         total += complex(float(odds[REPEAT]) * repeats, repeats)
+        for word in missing:
+            if len(word) > LONGEST:
+                del known[word]
         return float(1 / (1 + np.exp(-np.clip(total.real / total.imag, -700, 700))))
 
 
@@ -115,7 +118,8 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarr
     ``docs`` needs ``doc_id`` and ``text``, ``labels`` needs ``doc_id`` and
     ``quality``; rows with a NULL there teach nothing. At most ``sample``
     documents are used, those with the least hash of their id and text; they are
-    turned to features in the tasks. Of several labels of one id the least counts.
+    turned to features in the tasks. Of several labels of one id the least counts;
+    repeated rows teach once, and the driver gets one row of each.
     """
     marked = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
     marked = marked.filter(crc_remainder(F.col("doc_id"), FOLDS) != HELD_OUT)
@@ -126,16 +130,22 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarr
     share = min(1.0, 1.5 * sample / max(1, marked.count()))
     least = min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
     chosen = frozen(chosen.filter(F.col("order") <= least).orderBy("order", "doc_id").limit(sample))
-    own = texts.join(chosen.select("doc_id", "order", "quality"), ["doc_id", "order"]).select("doc_id", "order", "quality", "text")
-    schema = pa.schema([("order", pa.int64()), ("quality", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
+    own = texts.join(chosen.select("doc_id", "order", "quality"), ["doc_id", "order"])
+    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), "order", "quality", "text")
+    schema = pa.schema([("doc_id", pa.int64()), ("order", pa.int64()), ("quality", pa.int32()), ("buckets", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()  # no more than ``sample``
         for batch in batches:
+            keys = list(zip(batch.column("doc_id").to_pylist(), batch.column("order").to_pylist(), strict=True))
+            first = [at for at, key in enumerate(keys) if key not in seen and not seen.add(key)]
+            batch = batch.take(pa.array(first, pa.int64()))
             found = [document_features(value) for value in batch.column("text").to_pylist()]
             columns = [[b.astype("<u4").tobytes() for b, _ in found], [c.astype("<f4").tobytes() for _, c in found]]
-            yield record_batch(schema, [batch.column("order"), batch.column("quality"), *columns])
+            yield record_batch(schema, [batch.column("doc_id"), batch.column("order"), batch.column("quality"), *columns])
 
-    rows = own.mapInArrow(run, "order long, quality int, buckets binary, counts binary").toArrow().sort_by("order")
+    made = own.mapInArrow(run, "doc_id long, order long, quality int, buckets binary, counts binary")
+    rows = made.dropDuplicates(["doc_id", "order"]).toArrow().sort_by([("order", "ascending"), ("doc_id", "ascending")])
     examples = [
         (np.frombuffer(buckets, "<u4"), np.frombuffer(counts, "<f4"), quality)
         for buckets, counts, quality in zip(rows.column("buckets").to_pylist(), rows.column("counts").to_pylist(), rows.column("quality").to_pylist(), strict=True)

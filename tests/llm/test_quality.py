@@ -48,3 +48,19 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and all(r.doc_id is None or r.doc_id < 100 or r.doc_id >= 500 for r in kept.collect())
     assert quality.scored_documents(docs.limit(0), labels).collect() == []
     assert {r.score for r in quality.scored_documents(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_repeated_rows_teach_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "same words")] * 2000 + [(0, "other words"), (1, "more words")], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(0, 0), (1, 1), (1, 1)], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality, "train", taught.extend)
+    quality.fitted(docs, labels)
+    assert all(zlib.crc32(n) % quality.FOLDS != quality.HELD_OUT for n in (b"0", b"1"))
+    assert len(taught) == 3
+
+
+def test_long_words_are_not_remembered():
+    scorer = quality.Scorer(np.ones(quality.BUCKETS, dtype=np.float32))
+    scorer(["short " + "y" * 3_000_000 + " short", "y" * (quality.LONGEST + 1)])
+    assert set(scorer.words) == {"short"}
