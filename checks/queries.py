@@ -573,7 +573,7 @@ def polite_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "stream-markdown")
-    pages = jobs.read_stream(spark, sf_dir, PAGE, "pages.parquet")
+    pages = jobs.read_table_stream(spark, f"{sf_dir}/pages.parquet", PAGE)
     jobs.stream_markdown(pages, f"{out}/rows", f"{out}/log").awaitTermination()
     return spark.read.parquet(f"{out}/rows").select(
         "page_id", "route", F.md5("markdown").alias("markdown_md5")
@@ -590,7 +590,7 @@ def _streamed_index(spark: SparkSession, sf_dir: str, out: str) -> str:
     schema = table(spark, sf_dir, "documents").schema
     for log in ("log", "again"):
         # a second run from the start must add nothing
-        documents = jobs.read_stream(spark, sf_dir, schema, "documents.parquet").select(
+        documents = jobs.read_table_stream(spark, f"{sf_dir}/documents.parquet", schema).select(
             F.format_string("d%08d", "doc_id").alias("path"), "text"
         )
         jobs.stream_index(documents, f"{out}/table", f"{out}/{log}").awaitTermination()
@@ -607,7 +607,7 @@ def stream_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = f"{out}/table"
     writers.append_vectors(index.index_documents(named_documents(spark, sf_dir)), made)
     schema = table(spark, sf_dir, "benchmark").schema
-    asked = jobs.read_stream(spark, sf_dir, schema, "benchmark.parquet").select(
+    asked = jobs.read_table_stream(spark, f"{sf_dir}/benchmark.parquet", schema).select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query")
     )
     for log in ("log", "again"):
@@ -632,7 +632,7 @@ def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "stream-schedule")
-    events = jobs.read_stream(spark, sf_dir, table(spark, sf_dir, "events").schema, "events.parquet")
+    events = jobs.read_table_stream(spark, f"{sf_dir}/events.parquet", table(spark, sf_dir, "events").schema)
     asked = events.select(
         F.col("event_type").alias("domain"),
         wall_micros(F.col("ts")).alias("at_micros"),

@@ -35,6 +35,12 @@ def read_stream(
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
 
 
+def read_table_stream(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The parquet files of a table, be it one file or a folder of them, and those that come to it later."""
+    # as a pattern: Spark takes a plain path of a stream for a folder
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
+
+
 def _run(rows: DataFrame) -> str:
     """The id of the running query, which its checkpoint keeps over restarts."""
     return rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
