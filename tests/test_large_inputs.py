@@ -1,7 +1,10 @@
 """Streams, searches and loads on tables as large inputs have them."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pressmill.operators import hashed
 from pressmill.streaming import jobs
 
 
@@ -26,3 +29,32 @@ def test_stream_queries_read_tables_that_are_folders(spark, tmp_path):
     spark.createDataFrame([(n, f"text {n}") for n in range(9)], "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
     assert queries.stream_markdown(spark, str(tmp_path)).count() == 2
     assert queries.stream_index(spark, str(tmp_path)).count() == 9
+
+
+def vectors(spark, count, dim=6, seed=5):
+    rows = np.random.default_rng(seed).standard_normal((count, dim)).tolist()
+    return spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+
+
+def asking(stored):
+    return stored.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+def test_hashed_search_sends_a_query_once_per_block(spark):
+    stored = vectors(spark, 300)
+    asked = asking(stored)
+    hashing = spark.sparkContext.broadcast(hashed.Hashing(3, 4, [0] * 6))
+    rows = hashed._probing(asked, "query_vec", hashing, 5).collect()
+    assert len(rows) == 300
+    for row in rows[:20]:
+        want = hashing.value.probed(np.array([row.query_vec]), 5)[0]
+        assert np.frombuffer(row.probed, "<u4").reshape(3, 5).tolist() == want.tolist()
+
+
+def test_hashed_search_is_the_same_in_any_blocks(spark):
+    stored = vectors(spark, 300)
+    found = [
+        sorted(map(tuple, hashed.nearest_hashed(asking(stored), stored, 3, tables=3, bits=4, probes=5, rows_per_slice=size).collect()))
+        for size in (70, 1000)
+    ]
+    assert found[0] == found[1] and len(found[0]) >= 800
