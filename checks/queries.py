@@ -70,6 +70,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def files_each(spark: SparkSession, sf_dir: str, parts: int) -> int:
+    """Into how many files each of the ``parts`` of the documents should go, for no task to write more than a scan's split or two."""
+    return -(-spark.read.parquet(f"{sf_dir}/documents.parquet").rdd.getNumPartitions() // parts)
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages and documents as one table of bodies with urls."""
     pages = table(spark, sf_dir, "pages").select(

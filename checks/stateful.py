@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.oracles import SLOTS
-from checks.queries import SLOT_PERIOD, issue_pages, requests, scratch
+from checks.queries import SLOT_PERIOD, files_each, issue_pages, requests, scratch
 from pressmill.streaming import stateful
 
 FILES = 4
@@ -33,8 +33,9 @@ def stream_unique_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "stream-unique")
     pages = issue_pages(spark, sf_dir).select("num", "html")
     for again in range(2):
-        pages.repartition(3 + again).write.mode("append").parquet(f"{out}/landed")
-        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2).parquet(f"{out}/landed")
+        each = files_each(spark, sf_dir, 3 + again)
+        pages.repartition((3 + again) * each).write.mode("append").parquet(f"{out}/landed")
+        stream = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 2 * each).parquet(f"{out}/landed")
         made = stateful.unique_issues(stream)
         writer = made.writeStream.format("parquet").option("path", f"{out}/issues").option("checkpointLocation", f"{out}/log")
         writer.trigger(availableNow=True).start().awaitTermination()
