@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from checks.oracles import ARTICLE_FILES, CHUNKS, HEADERS
-from checks.queries import _parsed, articles, named_documents, scratch, table
+from checks.queries import _parsed, articles, files_each, named_documents, scratch, table
 from pressmill.operators.chunking import split_documents
 from pressmill.sources import bucketed, files, tables, writers
 from pressmill.streaming import jobs
@@ -61,11 +61,12 @@ def stream_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents landed in several files and cut to chunks: what the listener adds up over the batches."""
     out = scratch(spark, "stream-counts")
     documents = named_documents(spark, sf_dir)
-    documents.repartition(BATCHES).write.parquet(f"{out}/landed")
+    each = files_each(spark, sf_dir, BATCHES)
+    documents.repartition(BATCHES * each).write.parquet(f"{out}/landed")
     counts = StreamCounts()
     spark.streams.addListener(counts)
     try:
-        stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/landed")
+        stream = spark.readStream.schema(documents.schema).option("maxFilesPerTrigger", each).parquet(f"{out}/landed")
         read = counted(stream, "documents", characters=F.length("text"))
         chunks = counted(split_documents(read), "chunks", characters=F.length("text"), firsts=F.col("chunk_no") == 0)
         query = chunks.writeStream.format("parquet").option("path", f"{out}/chunks").option("checkpointLocation", f"{out}/log")
