@@ -9,7 +9,7 @@ load, so that it can be sent to the tasks that make vectors.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.functions.markdown import words
@@ -27,7 +27,9 @@ def term_counts(documents: DataFrame, key: str, text: str = "text", buckets: int
     Rows with the same key are one document. NULL keys, NULL texts and texts
     without words give no rows.
     """
-    found = documents.filter(F.col(key).isNotNull()).select(F.col(key), F.explode(words(F.col(text))).alias("word"))
+    # the texts are dealt by key, so that their words, far more and larger, need not be
+    dealt = documents.filter(F.col(key).isNotNull()).select(key, text).repartition(key)
+    found = dealt.select(F.col(key), F.explode(words(F.col(text))).alias("word"))
     # words first: a place is computed once per document and word
     counted = found.groupBy(key, "word").agg(F.count(F.lit(1)).alias("count"))
     return counted.groupBy(key, bucket(F.col("word"), buckets).cast("int").alias("place")).agg(F.sum("count").alias("count"))
@@ -79,8 +81,8 @@ def weighted_terms(terms: DataFrame, counts: DataFrame, key: str) -> DataFrame:
     joined = terms.join(F.broadcast(known), "place", "left").join(F.broadcast(total))
     weight: Column = F.col("count") * F.coalesce("rare", F.log(F.col("total") + 1))
     made = joined.select(key, "place", weight.alias("weight")).filter("weight <> 0")
-    length = made.groupBy(key).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"))
-    return made.join(length, key).select(key, "place", (F.col("weight") / F.col("length")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
+    return made.select(key, "place", (F.col("weight") / length).alias("weight"))
 
 
 def sparse_vectors(weighted: DataFrame, key: str) -> DataFrame:
