@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pressmill.operators.incremental import first_by_key, skip_stored_chunks
@@ -11,6 +11,10 @@ from pressmill.session import frozen, released
 from pressmill.sources.tables import read_table, within_range
 
 
+#: Copies of a path beyond which given articles are brought to one per path before they are dealt.
+CROWD = 10_000
+
+
 def save_articles(articles: DataFrame, path: str) -> None:
     """Write each article's file text, one folder per issue.
 
@@ -25,38 +29,69 @@ def save_articles(articles: DataFrame, path: str) -> None:
 def merge_articles(articles: DataFrame, path: str) -> None:
     """Write articles one by one: a stored one of the same path is replaced, the others of its issue stay.
 
-    Only the folders of the issues that are touched are read, joined and written
-    again. What they will hold is written to the shared folder first, so a run that
-    is lost on the way can be run again. Articles without an issue share a folder
-    of their own; a NULL path, which such articles have, replaces nothing but a
-    row that is the same in all columns.
+    Only the folders of the issues that are touched are read and written again. Given
+    and stored rows are dealt once, together, by ranges of issue and path, and meet
+    there; Spark writes beside the table and moves the folders when all are whole.
+    Articles without an issue share a folder of their own; a stored row with a NULL
+    path is replaced by nothing but a row that is the same in all columns.
     """
     stored = read_table(articles.sparkSession, path)
     if stored is None:
         return save_articles(articles, path)
-    given = frozen(_stored_rows(articles))
+    given = frozen(_all_stored_rows(articles))
+    if not given.groupBy("path").count().filter(F.col("count") > CROWD).isEmpty():
+        given = frozen(first_by_key(given, ["path"]))  # else a task would get all copies
     kind = given.schema["issue_num"].dataType
     stored = stored.select(*[name for name in given.columns if name != "issue_num"], F.col("issue_num").cast(kind))
-    touched = given.select("issue_num").distinct()
+    # a table of known size, so that the stored rows aren't shuffled only to be told apart by it
+    touched = frozen(given.select("issue_num").distinct())
     held = stored.filter("issue_num is not null").join(touched, "issue_num", "left_semi")
     if not touched.filter("issue_num is null").isEmpty():
         held = held.unionByName(stored.filter("issue_num is null"))
-    kept = held.join(given.select("path"), "path", "left_anti")
-    merged = frozen(given.unionByName(kept.select(*given.columns)).distinct())
-    _write_issues(merged, path)
-    released(given, merged)
+    both = given.withColumn("_held", F.lit(False)).unionByName(held.withColumn("_held", F.lit(True)))
+    _write_sorted(_merged(both), path)
+    released(given, touched)
+
+
+def _all_stored_rows(articles: DataFrame) -> DataFrame:
+    return with_article_text(articles).select("path", "text", "title", "url", "issue_num")
 
 
 def _stored_rows(articles: DataFrame) -> DataFrame:
-    rows = with_article_text(articles).select("path", "text", "title", "url", "issue_num")
-    return first_by_key(rows, ["path"])
+    return first_by_key(_all_stored_rows(articles), ["path"])
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """Of each path the given row by the least hash, or else what is held, each row once; sorted by issue.
+
+    The ranges split an issue that is large by itself; rows of one path lie in one range.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    values = ["text", "title", "url", "issue_num"]
+    digest = F.xxhash64(*values, *[F.col(name).isNull() for name in values])
+    whole = F.struct(*values)
+    apart = F.when(F.col("path").isNull(), whole)
+    near = Window.partitionBy("issue_num", "path", apart).orderBy("_held", digest, *[F.col(name).isNull() for name in values])
+    again = F.lag(whole).over(near).eqNullSafe(whole)
+    return (
+        rows.repartitionByRange(tasks, "issue_num", "path")
+        .withColumns({"_place": F.row_number().over(near), "_first": F.first("_held").over(near), "_again": again})
+        .filter((F.col("_place") == 1) | (F.col("_first") & ~F.col("_again")))
+        .drop("_held", "_place", "_first", "_again")
+    )
 
 
 def _write_issues(rows: DataFrame, path: str) -> None:
+    _write_sorted(rows.hint("rebalance", "issue_num"), path)
+
+
+def _write_sorted(rows: DataFrame, path: str) -> None:
+    """Rows of an issue should lie in few tasks, each of which writes a file of its own. Texts are a third smaller under zstd."""
     (
-        rows.hint("rebalance", "issue_num")
-        .write.mode("overwrite")
+        rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy("issue_num")
         .parquet(path)
     )

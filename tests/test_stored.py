@@ -50,6 +50,28 @@ def test_articles_without_an_issue_stay_one_each(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_merge_deals_rows_once(spark, tmp_path, monkeypatch):
+    """Given and stored rows meet in one exchange, whatever repeats; rows of another writer's table stay as they are."""
+    row = "path string, text string, title string, url string, issue_num int, _held boolean"
+    rows = spark.createDataFrame(
+        [("p", "old", "t", "u", 1, True), ("p", "new", "t", "u", 1, False), ("p", "new", "t", "u", 1, False)]
+        + [("q", "held", "t", "u", 1, True)] * 2 + [("q", None, "t", "u", 1, True)]
+        + [(None, "x", None, "u", None, True)] * 2 + [(None, "y", None, "u", None, True)],
+        row,
+    )
+    made = writers._merged(rows)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange rangepartitioning") == 1 and plan.count("Exchange") == 1
+    assert sorted(map(str, made.select("path", "text").toLocalIterator())) == sorted(
+        str(r) for r in spark.createDataFrame([("p", "new"), ("q", "held"), ("q", None), (None, "x"), (None, "y")], "path string, text string").collect()
+    )
+    crowd = spark.createDataFrame([(f"t{n % 3}", "u", 1, 1, "s", f"m{n % 3}", (n % 3, 3)) for n in range(30)], ARTICLE)
+    monkeypatch.setattr(writers, "CROWD", 5)
+    for _ in range(2):
+        writers.merge_articles(crowd, str(tmp_path / "out"))
+    assert sorted(r.title for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["t0", "t1", "t2"]
+
+
 def documents(spark, first, last, words=700):
     text = F.concat(F.lit("start "), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" word ")), words))
     return spark.range(first, last).select(F.format_string("p%05d", "id").alias("path"), text.alias("text"))
