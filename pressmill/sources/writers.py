@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pressmill.operators.incremental import first_by_key, skip_stored_chunks
 from pressmill.operators.markdown import with_article_text
@@ -87,7 +94,20 @@ def _write_issues(rows: DataFrame, path: str) -> None:
 
 
 def _write_sorted(rows: DataFrame, path: str) -> None:
-    """Rows of an issue should lie in few tasks, each of which writes a file of its own. Texts are a third smaller under zstd."""
+    """Rows of an issue should lie in few tasks, each of which writes a file of its own. Texts are a third smaller under zstd.
+
+    Tasks write through pyarrow, as Hadoop's local file system starts three processes
+    for a folder with one file. Spark writes to stores that pyarrow doesn't know, and issues
+    that have other keys than whole numbers.
+    """
+    whole = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+    try:
+        fs.FileSystem.from_uri(path)
+        known = isinstance(rows.schema["issue_num"].dataType, whole)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        known = False
+    if known:
+        return _write_by_tasks(rows, path)
     (
         rows.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -97,6 +117,70 @@ def _write_sorted(rows: DataFrame, path: str) -> None:
     )
 
 
+def _write_by_tasks(rows: DataFrame, path: str) -> None:
+    """Replaces the folders of the issues among the rows, once all their files lie in a hidden folder beside them.
+
+    Only files of attempts that Spark counts are moved. A move or a removal that is run
+    again finds what is left to do.
+    """
+    spark, staging = rows.sparkSession, f".staging-{uuid.uuid4().hex}"
+    names = [name for name in rows.columns if name != "issue_num"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(path)
+        own, folders, held, out, writer = uuid.uuid4().hex, [], None, None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if not folders:
+                system.create_dir(f"{top}/{staging}/{own}")
+            issues, plain = batch.column("issue_num").to_pylist(), batch.select(names)
+            starts = [n for n in range(len(issues)) if not n or issues[n] != issues[n - 1]]
+            for start, end in zip(starts, [*starts[1:], len(issues)], strict=True):
+                folder = f"issue_num={'__HIVE_DEFAULT_PARTITION__' if issues[start] is None else issues[start]}"
+                if folder != held:
+                    if writer:
+                        writer.close()
+                        out.close()
+                    out = system.open_output_stream(f"{top}/{staging}/{own}/part-{own}-{len(folders)}.parquet")
+                    writer = pq.ParquetWriter(out, plain.schema, compression="zstd")
+                    folders.append(folder)
+                    held = folder
+                writer.write_batch(plain.slice(start, end - start))
+        if writer:
+            writer.close()
+            out.close()
+        files = [f"part-{own}-{n}.parquet" for n in range(len(folders))]
+        yield pa.RecordBatch.from_pydict({"folder": folders, "own": [own] * len(files), "file": files}, pa.schema([(n, pa.string()) for n in ("folder", "own", "file")]))
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for folder, files in zip(*[column.to_pylist() for column in batch.columns], strict=True):
+                system.create_dir(f"{top}/{folder}")
+                before = {one.base_name: one for one in system.get_file_info(fs.FileSelector(f"{top}/{folder}"))}
+                for own, file in ((one["own"], one["file"]) for one in files):
+                    if file not in before:
+                        system.move(f"{top}/{staging}/{own}/{file}", f"{top}/{folder}/{file}")
+                    before.pop(file, None)
+                for one in before.values():
+                    system.delete_file(one.path)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["moved"])
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path, staging)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(at)
+    try:
+        written = frozen(rows.sortWithinPartitions("issue_num").mapInArrow(write, "folder string, own string, file string"))
+        # by number, as Spark would take the short list for the work of one task
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        folders = written.repartition(tasks, "folder").groupBy("folder").agg(F.collect_list(F.struct("own", "file")).alias("files"))
+        folders.mapInArrow(move, "moved long").agg(F.sum("moved")).first()
+        released(written)
+    finally:
+        system.delete(at, True)
+
+
 def append_vectors(vectors: DataFrame, path: str) -> None:
     """Append the chunks that the table does not hold yet; a rerun adds nothing."""
     stored = within_range(read_table(vectors.sparkSession, path), vectors)
