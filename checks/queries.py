@@ -632,7 +632,7 @@ def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     for log in ("log", "again"):
         landed = jobs.read_stream(spark, f"{out}/landed", schema)
         jobs.stream_issues(landed, f"{out}/table", f"{out}/{log}").awaitTermination()
-    return spark.read.parquet(f"{out}/table").select("issue_num", "path", "title", "url")
+    return tables.read_folders(spark, f"{out}/table").select("issue_num", "path", "title", "url")
 
 
 def stream_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -678,7 +678,7 @@ def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
         issues = jobs.read_stream(spark, f"{out}/issues", schema)
         at = [f"{out}/{name}" for name in ("landed", "rendered", "table", "state", log)]
         jobs.stream_corpus(issues, *at).awaitTermination()
-    return spark.read.parquet(f"{out}/table").select(
+    return tables.read_folders(spark, f"{out}/table").select(
         "issue_num", "path", "url", F.md5(F.expr("substring(text, locate('\n\n---\n\n', text) + 7)")).alias("markdown_md5")
     )
 
