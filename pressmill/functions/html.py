@@ -20,9 +20,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pressmill.functions.markdown import clean_markdown
+from pressmill.functions.markdown import clean_twice
 from pressmill.functions.nesting import NUMBER_CLOSE, NUMBER_OPEN, unnested
-from pressmill.functions.text import find_all, fixed_map, is_blank, let, strip, sub
+from pressmill.functions.text import contains_any, find_all, fixed_map, is_blank, let, strip, sub, sub_where
 
 # What is left out with its contents.
 DROPPED_TAGS = [
@@ -80,6 +80,8 @@ LIST_OPEN, LIST_CLOSE = "\ue00d", "\ue00e"
 GAP = r"[ \t\r\n]"
 #: All characters that stand for something between two steps.
 PRIVATE = [chr(code) for code in range(0xE000, 0xE011)]
+#: The marks that more is to be done for than to take them out.
+WORKED_ON = f"[{STRONG_OPEN}-{EM_CLOSE}{LI_OPEN}-{ANGLE_CLOSE}{LIST_OPEN}{LIST_CLOSE}]"
 
 
 def _open(names: str) -> str:
@@ -107,16 +109,27 @@ def _closed(name: str) -> str:
 
 # Each pattern opens with one plain character, which lets a scan skip quickly.
 REST_OF_TAG = r"/?[a-zA-Z][^>]*>|[!?][^>]*>"
+MAY_HIDE = "(?i)<(?:!--|script|style)"
 UNSEEN = "(?is)<(?:!--.*?-->|" + "|".join(_to_end(t) for t in ("script", "style")) + ")"
 SEEN_LAST = re.compile(UNSEEN.replace(r"\z", r"\Z"))
 # References that HTML knows without a closing semicolon, long ones first.
 UNENDED = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
-MAY_DROP = rf"(?i)<(?:{'|'.join(DROPPED_TAGS)})[\s/>]|[\s\"'](?:class|role)\s*=|<!--|<(?:script|style)"
-MAY_NEST = r"(?is)<(?:ol|ul)[\s/>].*<(?:ol|ul)[\s/>]|<table[\s/>].*<table[\s/>]|<(?:b|strong)[\s/>].*<(?:b|strong)[\s/>]|<(?:i|em)[\s/>].*<(?:i|em)[\s/>]"
+NESTING = ["ol|ul", "table", "b|strong", "i|em"]
+MAY_WALK = (
+    rf"(?is)<(?:(?:{'|'.join(DROPPED_TAGS)})[\s/>]|!--|script|style|"
+    + "|".join(rf"(?:{names})[\s/>].*<(?:{names})[\s/>]" for names in NESTING)
+    + ")"
+)
+MARKED_TAG = r"(?i)[\s\"'](?:class|role)\s*="
 UNITS = "(?is)[^<]+|<(?:" + "|".join(_closed(t) for t in ("pre", "code", "a")) + f"|{REST_OF_TAG})|<"
 BLOCK_UNITS = "(?is)[^<]+|<(?:" + "|".join(
     _closed(t) for t in ("table", "ol", *(f"h{n}" for n in range(1, 7)))
 ) + f"|{REST_OF_TAG})|<"
+# Units that become more than a mark or stay what they are.
+SPECIAL = r"(?i)\A<(?:a|pre|code|img)[\s/>]"
+SPECIAL_BLOCK = r"(?i)\A<(?:h[1-6]|ol|table)[\s/>]"
+# White space beside a tag; one plain set of signs first.
+BESIDE_TAG = rf"[<>](?:(?<={GAP}<)|(?<=>){GAP})"
 # What a tag becomes; any other tag leaves nothing but its text.
 MARKS = {
     "<p": f"{BLOCK_OPEN}\n\n",
@@ -152,7 +165,7 @@ def strip_tags(html: Column) -> Column:
 
 def without_unseen(html: Column) -> Column:
     """Comments, scripts and styles taken out."""
-    return sub(html, UNSEEN, "")
+    return let(html, lambda h: F.when(h.rlike(MAY_HIDE), sub(h, UNSEEN, "")).otherwise(h))
 
 
 def _is_dropped(name: str, rest: str) -> bool:
@@ -235,7 +248,16 @@ def without_private(html: Column) -> Column:
     out = html
     for one in PRIVATE:
         out = F.replace(out, F.lit(one), F.lit(f"&#{ord(one)};"))
-    return F.when(html.rlike(f"[{PRIVATE[0]}-{PRIVATE[-1]}]"), out).otherwise(html)
+    # the first two bytes of all of them, sought before the text is decoded
+    may = F.contains(html.cast("binary"), F.lit(PRIVATE[0].encode()[:2]))
+    return F.when(may & html.rlike(f"[{PRIVATE[0]}-{PRIVATE[-1]}]"), out).otherwise(html)
+
+
+def is_walked(html: Column) -> Column:
+    """Whether a page may have elements to leave out, or nested ones of a kind."""
+    lower = F.lower(html)
+    marked = html.contains("=") & contains_any(lower, ["class", "role"]) & html.rlike(MARKED_TAG)
+    return html.rlike(MAY_WALK) | marked
 
 
 def decode_entities(text: Column) -> Column:
@@ -272,14 +294,19 @@ def decode_entities(text: Column) -> Column:
 
 def visible_text(html: Column) -> Column:
     """Text of an element: tags off, every text run trimmed, runs joined."""
-    runs = find_all(F.concat(F.lit(">"), html), r">([^<>]+)", 1)
-    return strip(decode_entities(F.array_join(F.transform(runs, strip), "")))
+
+    def joined(h: Column) -> Column:
+        runs = find_all(F.concat(F.lit(">"), h), r">([^<>]+)", 1)
+        return F.when(contains_any(h, ["<", ">"]), F.array_join(F.transform(runs, strip), "")).otherwise(strip(h))
+
+    return strip(decode_entities(let(html, joined)))
 
 
 def _plain_text(run: Column) -> Column:
     """White space as a browser shows it, Markdown characters escaped."""
-    spaced = sub(sub(run, r"[ \t\r\n]*[\r\n][ \t\r\n]*", "\n"), r"[ \t]+", " ")
-    return sub(spaced, r"([*_])", r"\\$1")
+    ended = sub_where(run, ["\n", "\r"], r"[ \t\r\n]*[\r\n][ \t\r\n]*", "\n")
+    spaced = sub_where(ended, ["  ", "\t"], r"[ \t]{2,}|\t", " ")
+    return sub_where(spaced, ["*", "_"], r"([*_])", r"\\$1")
 
 
 def _image(tag: Column) -> Column:
@@ -293,9 +320,9 @@ def _image(tag: Column) -> Column:
 def _small(unit: Column) -> Column:
     """A tag or a text run."""
     return (
-        F.when(unit.rlike(r"(?i)\A<img[\s/>]"), _image(unit))
-        .when(unit.rlike(r"\A<[a-zA-Z/!?]"), unit)
-        .otherwise(_plain_text(unit))
+        F.when(~unit.startswith("<"), _plain_text(unit))
+        .when(unit.rlike(r"(?i)\A<img[\s/>]"), _image(unit))
+        .otherwise(unit)
     )
 
 
@@ -335,6 +362,7 @@ def _unit(unit: Column) -> Column:
     )
     return (
         F.when(~unit.startswith("<"), _plain_text(unit))
+        .when(~unit.rlike(SPECIAL), unit)
         .when(unit.rlike(r"(?is)\A<a[\s/>].*</a\s*>\z"), _link(unit))
         .when(unit.rlike(r"(?is)\A<pre[\s/>].*</pre\s*>\z"), preformatted)
         .when(unit.rlike(r"(?is)\A<code[\s/>].*</code\s*>\z"), code)
@@ -343,10 +371,10 @@ def _unit(unit: Column) -> Column:
 
 
 def _mark(unit: Column) -> Column:
-    marks = fixed_map(MARKS)
+    marks = fixed_map(MARKS)  # a unit is a tag, a sole bracket or a run without one
     name = F.lower(F.regexp_extract(unit, r"\A</?[a-zA-Z][a-zA-Z0-9]*", 0))
     marked = F.coalesce(F.try_element_at(marks, name), F.lit(""))
-    return F.when(unit.rlike(r"\A<[a-zA-Z/!?]"), marked).otherwise(unit)
+    return F.when(unit.startswith("<") & (unit != "<"), marked).otherwise(unit)
 
 
 def _marked(html: Column) -> Column:
@@ -415,6 +443,7 @@ def _table(unit: Column) -> Column:
 def _block(unit: Column) -> Column:
     return (
         F.when(~unit.startswith("<"), unit)
+        .when(~unit.rlike(SPECIAL_BLOCK), _mark(unit))
         .when(unit.rlike(r"(?is)\A<h[1-6][\s/>].*</h[1-6]\s*>\z"), _heading(unit))
         .when(unit.rlike(r"(?is)\A<ol[\s/>].*</ol\s*>\z"), _numbered_list(unit))
         .when(unit.rlike(r"(?is)\A<table[\s/>].*</table\s*>\z"), _table(unit))
@@ -426,8 +455,8 @@ def _emphasis(text: Column, opening: str, closing: str, mark: str) -> Column:
     """Paired marks, then marks left open: those end with their block, or with
     the scope they stand in when another block starts first."""
     # white space at the inner edges goes outside, a lasting space only
-    out = sub(text, rf"{opening} {GAP}*", f" {opening}")
-    out = sub(out, rf"{opening}{GAP}+", opening)
+    out = sub_where(text, [f"{opening} "], rf"{opening} {GAP}*", f" {opening}")
+    out = sub_where(out, [opening], rf"{opening}{GAP}+", opening)
     out = let(
         out,
         lambda t: F.when(t.contains(closing), _pairs(t, opening, closing, mark)).otherwise(t),
@@ -545,21 +574,35 @@ def _items(text: Column) -> Column:
 
 def convert_html(html: Column) -> Column:
     """Markdown of a page before it is cleaned."""
-    html = without_private(html)
-    walked = html.rlike(MAY_DROP) | html.rlike(MAY_NEST)
-    out = F.coalesce(without_dropped(F.when(walked, html)), html)
+    plain = without_private(html)
+    out = F.coalesce(without_dropped(F.when(is_walked(html), plain)), plain)
     out = F.array_join(F.transform(find_all(out, UNITS), _unit), "")
-    out = sub(out, rf"(?i){GAP}*(</?(?:{BLOCKS})(?:[\s/][^>]*)?>){GAP}*", "$1")
+    beside = rf"(?i){GAP}*(</?(?:{BLOCKS})(?:[\s/][^>]*)?>){GAP}*"
+    out = let(out, lambda t: F.when(t.rlike(BESIDE_TAG), sub(t, beside, "$1")).otherwise(t))
     out = F.array_join(F.transform(find_all(out, BLOCK_UNITS), _block), "")
-    out = _emphasis(out, STRONG_OPEN, STRONG_CLOSE, "**")
+    out = let(out, lambda t: F.when(t.rlike(WORKED_ON), _without_marks(t)).otherwise(_without_scopes(t)))
+    return decode_entities(out)
+
+
+def _without_scopes(text: Column) -> Column:
+    for mark in (BLOCK_OPEN, BLOCK_CLOSE, SCOPE_END):
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return text
+
+
+def _without_marks(text: Column) -> Column:
+    """Marks of emphasis, lists, quotes and bare links worked into the text."""
+    out = _emphasis(text, STRONG_OPEN, STRONG_CLOSE, "**")
     out = _emphasis(out, EM_OPEN, EM_CLOSE, "*")
-    out = F.translate(out, BLOCK_OPEN + BLOCK_CLOSE + SCOPE_END, "")
+    out = _without_scopes(out)
     listed = lambda t: t.contains(LI_OPEN) | t.contains(LIST_OPEN)
     out = let(out, lambda t: F.when(listed(t), _items(t)).otherwise(t))
     out = let(out, lambda t: F.when(t.contains(QUOTE_OPEN) | t.contains(QUOTE_CLOSE), _quotes(t)).otherwise(t))
-    return decode_entities(F.translate(out, ANGLE_OPEN + ANGLE_CLOSE, "<>"))
+    for mark, sign in ((ANGLE_OPEN, "<"), (ANGLE_CLOSE, ">")):
+        out = F.replace(out, F.lit(mark), F.lit(sign))
+    return out
 
 
 def html_to_markdown(html: Column) -> Column:
     """Markdown of a page, cleaned twice: the second pass sees what the first left."""
-    return clean_markdown(clean_markdown(convert_html(html)))
+    return clean_twice(convert_html(html))

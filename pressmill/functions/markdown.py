@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressmill.functions.text import (
     SPACE,
+    SPACE_CHARS,
     find_all,
     is_blank,
     let,
@@ -14,6 +15,7 @@ from pressmill.functions.text import (
     matches_any,
     strip,
     sub,
+    sub_where,
 )
 
 # Openings of lines that are not part of an article.
@@ -32,6 +34,11 @@ NOISE_LINES = [
     rf"\A[{SPACE}]*[-—_]{{3,}}[{SPACE}]*\z",
 ]
 
+# All of them in one, and what such a line begins with after its white space.
+NOISE_LINE = r"\A(?:" + "|".join(f"(?:{line.replace(chr(92) + 'A', '', 1)})" for line in NOISE_LINES) + ")"
+NOISE_OPENING = rf"(?iu)\A(?:{SOCIAL_VERBS}|{BYLINES}|\p{{Nd}}|\[|http|[-—_])"
+OPENING_LENGTH = 16
+
 # Clean-ups of the joined text, in order. A blank line is put
 # after every heading and the next rule takes back what was there already.
 CLEAN_UPS = [
@@ -42,6 +49,16 @@ CLEAN_UPS = [
     (r"\n{3,}", "\n\n"),
     (r"(?dm)[ \t]+$", ""),
 ]
+# What a text must hold for the clean-up of the same place to matter, as signs and a pattern that opens with
+# a plain one. A heading with a blank line after it needs no other; white space at the end is cut after them.
+CLEAN_UP_SIGNS = [
+    (["]("], None),
+    (["]("], None),
+    (["#"], rf"(?dm)#(?<=^#)#*[{SPACE}]*$"),
+    (["#"], r"(?dm)#(?<=^#).*\n[^\n]"),
+    (["\n\n\n"], None),
+    ([" \n", "\t\n"], None),
+]
 
 # Openings that mark a text as navigation.
 NAVIGATION_OPENINGS = [
@@ -59,15 +76,16 @@ NAVIGATION_OPENINGS = [
 
 def is_noise_line(line: Column) -> Column:
     """Social, byline, reading-time, link-only and rule lines."""
-    return matches_any(line, NOISE_LINES)
+    opening = F.substring(F.ltrim(line, F.lit(SPACE_CHARS)), 1, OPENING_LENGTH)
+    return opening.rlike(NOISE_OPENING) & line.rlike(NOISE_LINE)
 
 
 def is_navigation(text: Column) -> Column:
     return matches_any(F.lower(text), NAVIGATION_OPENINGS)
 
 
-def clean_markdown(text: Column) -> Column:
-    """Drop noise lines and repeated blank lines, then tidy what is left."""
+def _kept_lines(text: Column) -> Column:
+    """Text without noise lines and repeated blank lines."""
     kept = F.filter(lines(text), lambda line: ~is_noise_line(line))
 
     def collapse_blanks(rows: Column) -> Column:
@@ -79,12 +97,34 @@ def clean_markdown(text: Column) -> Column:
         blank_out = F.transform(shown, lambda l: F.when(is_blank(l), F.lit("")).otherwise(l))
         return F.array_join(blank_out, "\n")
 
-    out = let(kept, collapse_blanks)
-    for pattern, replacement in CLEAN_UPS:
-        out = sub(out, pattern, replacement)
+    return let(kept, collapse_blanks)
+
+
+def _tidied(out: Column) -> Column:
+    for (pattern, replacement), (signs, test) in zip(CLEAN_UPS, CLEAN_UP_SIGNS, strict=True):
+        out = sub_where(out, signs, pattern, replacement, test)
     return strip(out)
 
 
+def clean_markdown(text: Column) -> Column:
+    """Drop noise lines and repeated blank lines, then tidy what is left."""
+    return _tidied(_kept_lines(text))
+
+
+def clean_twice(text: Column) -> Column:
+    """``clean_markdown`` of itself.
+
+    Where tidying the kept lines took nothing but white space off their end, they
+    are again what a second pass would keep, so it isn't made.
+    """
+
+    def passes(joined: Column, once: Column) -> Column:
+        rest = F.substring(joined, F.length(once) + 1, F.length(joined))
+        return F.when(joined.startswith(once) & is_blank(rest), once).otherwise(clean_markdown(once))
+
+    return let(_kept_lines(text), lambda joined: let(_tidied(joined), lambda once: passes(joined, once)))
+
+
 def article_path(issue_num: Column, current: Column) -> Column:
     return F.format_string("issue-%d/article-%d.md", issue_num, current)
 

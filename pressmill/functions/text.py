@@ -25,7 +25,8 @@ def strip(col: Column) -> Column:
 
 
 def is_blank(col: Column) -> Column:
-    return strip(col) == ""
+    # from the left only: that ends at the first character that isn't white space
+    return F.ltrim(col, F.lit(SPACE_CHARS)) == ""
 
 
 def any_of(tests: list[Column]) -> Column:
@@ -48,6 +49,16 @@ def find_all(col: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(col, F.lit(pattern), F.lit(group))
 
 
+def sub_where(col: Column, signs: list[str], pattern: str, replacement: str = "", test: str | None = None) -> Column:
+    """``sub`` for texts that hold one of ``signs``, and ``test``, which any match needs; others aren't built anew."""
+
+    def replaced(t: Column) -> Column:
+        may = contains_any(t, signs)
+        return F.when(may & t.rlike(test) if test else may, sub(t, pattern, replacement)).otherwise(t)
+
+    return let(col, replaced)
+
+
 def lines(col: Column) -> Column:
     return F.split(col, "\n")
 

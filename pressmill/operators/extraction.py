@@ -103,7 +103,8 @@ def _sibling_divs(section: Column) -> Column:
         ]
     )
     closer = "</div>"
-    pieces = F.split(sub(section, r"(?i)</div\s*>", closer), r"(?i)<div(?=[\s>])")
+    other = section.rlike(r"(?i)</div\s*>(?<!(?-i:</div>))")
+    pieces = F.split(F.when(other, sub(section, r"(?i)</div\s*>", closer)).otherwise(section), r"(?i)<div(?=[\s>])")
 
     def start(over: Column) -> Column:
         return F.struct(
@@ -114,19 +115,20 @@ def _sibling_divs(section: Column) -> Column:
         ).cast(state)
 
     def step(acc: Column, piece: Column) -> Column:
-        closes = F.regexp_count(piece, F.lit(closer))
-        depth = acc["depth"] + 1 - closes
+        depth = acc["depth"] + 1 - F.regexp_count(piece, F.lit(closer))
+        return F.when(acc["over"], acc).otherwise(let(depth, lambda d: moved_on(acc, piece, d)))
+
+    def moved_on(acc: Column, piece: Column, depth: Column) -> Column:
         # text of the div up to the closing tag that ends it
         ends = depth <= 0
         upto = F.call_function("substring_index", piece, F.lit(closer), acc["depth"] + 1)
         taken = F.concat(acc["open"], F.lit("<div"), F.when(ends, upto).otherwise(piece))
-        moved = F.struct(
+        return F.struct(
             F.greatest(depth, F.lit(0)).alias("depth"),
             (depth < 0).alias("over"),
             F.when(ends, F.lit("")).otherwise(taken).alias("open"),
             F.when(ends, F.concat(acc["done"], F.array(taken))).otherwise(acc["done"]).alias("done"),
         ).cast(state)
-        return F.when(acc["over"], acc).otherwise(moved)
 
     def finish(acc: Column) -> Column:
         unclosed = (acc["open"] != "") & ~acc["over"]
