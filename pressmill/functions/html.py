@@ -80,8 +80,6 @@ LIST_OPEN, LIST_CLOSE = "\ue00d", "\ue00e"
 GAP = r"[ \t\r\n]"
 #: All characters that stand for something between two steps.
 PRIVATE = [chr(code) for code in range(0xE000, 0xE011)]
-#: The marks that more is to be done for than to take them out.
-WORKED_ON = f"[{STRONG_OPEN}-{EM_CLOSE}{LI_OPEN}-{ANGLE_CLOSE}{LIST_OPEN}{LIST_CLOSE}]"
 
 
 def _open(names: str) -> str:
@@ -243,14 +241,17 @@ def without_dropped(html: pa.Array) -> pa.Array:
     return pa.array([None if page is None else unnested(drop_elements(page)) for page in html.to_pylist()], pa.string())
 
 
+def _may_hold_private(text: Column) -> Column:
+    """Whether the two bytes are there that open all private characters, sought without decoding the text."""
+    return F.contains(text.cast("binary"), F.lit(PRIVATE[0].encode()[:2]))
+
+
 def without_private(html: Column) -> Column:
     """Private characters of the page's own, as references that are decoded at the end."""
     out = html
     for one in PRIVATE:
         out = F.replace(out, F.lit(one), F.lit(f"&#{ord(one)};"))
-    # the first two bytes of all of them, sought before the text is decoded
-    may = F.contains(html.cast("binary"), F.lit(PRIVATE[0].encode()[:2]))
-    return F.when(may & html.rlike(f"[{PRIVATE[0]}-{PRIVATE[-1]}]"), out).otherwise(html)
+    return F.when(_may_hold_private(html) & html.rlike(f"[{PRIVATE[0]}-{PRIVATE[-1]}]"), out).otherwise(html)
 
 
 def is_walked(html: Column) -> Column:
@@ -580,8 +581,12 @@ def convert_html(html: Column) -> Column:
     beside = rf"(?i){GAP}*(</?(?:{BLOCKS})(?:[\s/][^>]*)?>){GAP}*"
     out = let(out, lambda t: F.when(t.rlike(BESIDE_TAG), sub(t, beside, "$1")).otherwise(t))
     out = F.array_join(F.transform(find_all(out, BLOCK_UNITS), _block), "")
-    out = let(out, lambda t: F.when(t.rlike(WORKED_ON), _without_marks(t)).otherwise(_without_scopes(t)))
-    return decode_entities(out)
+
+    def worked(marked: Column) -> Column:
+        # most texts have no marks but those of blocks
+        return let(_without_scopes(marked), lambda t: F.when(_may_hold_private(t), _without_marks(marked)).otherwise(t))
+
+    return decode_entities(let(out, worked))
 
 
 def _without_scopes(text: Column) -> Column:
