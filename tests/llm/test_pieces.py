@@ -88,3 +88,26 @@ def test_documents(spark):
     back = sorted(((r.doc_id, r.text) for r in pieces.decoded(coded, PATH).collect()), key=repr)
     assert back == sorted(((i, original.decode(original.encode(t or ""))) for i, t in given), key=repr)
     assert pieces.encoded_documents(docs.limit(0), PATH).collect() == []
+
+
+def test_every_text_is_held_whole_against_the_original(spark):
+    rows = [(n, f"text {n} of the sea") for n in range(200)] + [(None, None), (7, "")]
+    got = pieces.encoded_documents(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert [(r.parity, r.whole_parity) for r in got] == [(True, True)] * len(rows)
+    own, given = pieces.Codec(str(PATH)), pa.array([text for _, text in rows[:200]], pa.large_string())
+    ids, offsets, _ = own.encode_column(given)
+    assert own.held_against_original(given, ids, offsets).all()
+    for place in (0, 63, 199):
+        wrong = ids.copy()
+        wrong[offsets[place]] += 1
+        assert np.flatnonzero(~own.held_against_original(given, wrong, offsets)).tolist() == [place]
+
+
+def test_words_taken_together_have_the_ids_and_marks_of_each():
+    own, rng = pieces.Codec(str(PATH)), random.Random(5)
+    words = ["".join([" ", *rng.choices(PARTS, k=rng.randint(1, 6))]) for _ in range(6000)] + [" ", "a", " the", ""]
+    pool = own._encode_pieces(words)
+    alone = own.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+    back = own.unstripped.decode_batch([one.ids for one in alone], skip_special_tokens=False)
+    assert [pool.flat[b : b + n].tolist() for b, n in zip(pool.begin, pool.size, strict=True)] == [one.ids for one in alone]
+    assert [bool(mark & pieces.BACK) for mark in pool.mark] == [text == word for text, word in zip(back, words, strict=True)]
