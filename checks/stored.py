@@ -53,7 +53,7 @@ def stream_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _landed_files(spark, sf_dir, f"{out}/landed")
     for log in ("log", "again"):
         stream = tables.stream_article_files(spark, f"{out}/landed")
-        jobs.stream_index(stream, f"{out}/table", f"{out}/{log}", size=1 << 28, fixed=True).awaitTermination()
+        jobs.stream_index(stream, f"{out}/table", f"{out}/{log}", size=1 << 28, fixed=True, read_once=True).awaitTermination()
     return spark.read.parquet(f"{out}/table").select("path", F.md5("text").alias("text_md5"))
 
 

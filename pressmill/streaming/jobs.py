@@ -23,7 +23,7 @@ from pressmill.operators.routing import NEEDS_SCRIPT, route
 from pressmill.plans.ask import ask
 from pressmill.plans.corpus import article_markdown
 from pressmill.plans.index import append_documents
-from pressmill.session import frozen
+from pressmill.session import frozen, released
 from pressmill.sources.tables import read_table
 from pressmill.sources.writers import forget_before, save_articles, save_batch, save_whole_batch, state_before
 
@@ -56,11 +56,19 @@ def stream_markdown(pages: DataFrame, out: str, checkpoint: str, **routing) -> S
     return _start(made.writeStream.format("parquet").option("path", out), checkpoint)
 
 
-def stream_index(documents: DataFrame, table: str, checkpoint: str, **cut) -> StreamingQuery:
-    """New documents into the vector table, each chunk once."""
+def stream_index(documents: DataFrame, table: str, checkpoint: str, read_once: bool = False, **cut) -> StreamingQuery:
+    """New documents into the vector table, each chunk once.
+
+    With ``read_once`` a batch is written as a table before it is worked on, as small files
+    are dear to read twice.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
+        if not read_once:
+            return append_documents(rows, table, **cut)
+        rows = frozen(rows)
         append_documents(rows, table, **cut)
+        released(rows)
 
     return _start(documents.writeStream.foreachBatch(batch), checkpoint)
 

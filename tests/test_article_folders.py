@@ -1,5 +1,6 @@
 """Many issues: their folders are written and listed by a few tasks, without a process for each."""
 
+import pathlib
 import uuid
 
 from pyspark.sql import functions as F
@@ -64,3 +65,25 @@ def test_files_of_lost_attempts_are_not_moved(spark, tmp_path):
         assert "bad" in str(error)
     assert sorted(p.name for p in out.glob("*/*")) == before
     assert [p.name for p in out.iterdir() if p.name.startswith(".")] == []
+
+
+def test_a_batch_of_many_files_is_listed_by_few_tasks_and_read_once(spark, tmp_path):
+    from pressmill.sources import tables
+    from pressmill.streaming import jobs
+
+    for n in range(40):
+        (tmp_path / f"landed/issue-{n}").mkdir(parents=True)
+        (tmp_path / f"landed/issue-{n}/article-0.md").write_text(f"text {n}")
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("frozen-*"))
+    for log in ("log", "again"):
+        stream = tables.stream_article_files(spark, str(tmp_path / "landed"))
+        query = jobs.stream_index(stream, str(tmp_path / "table"), str(tmp_path / log), size=1 << 28, fixed=True, read_once=True)
+        query.awaitTermination()
+        tracker = spark.sparkContext.statusTracker()
+        stages = [stage for job in tracker.getJobIdsForGroup(query.runId) for stage in tracker.getJobInfo(job).stageIds]
+        tasks = [info.numTasks for info in map(tracker.getStageInfo, stages) if info]
+        assert tasks and max(tasks) <= 8  # one for each file before
+    got = sorted((r.path, r.text) for r in spark.read.parquet(str(tmp_path / "table")).collect())
+    assert got == sorted((f"issue-{n}/article-0.md", f"text {n}") for n in range(40))
+    assert set(shared.glob("frozen-*")) == before
