@@ -671,8 +671,8 @@ def stream_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same articles from a stream of issue pages, as they are stored, by two checkpoints."""
     out = scratch(spark, "stream-corpus")
     for name, df in zip(("landed", "rendered"), _corpus_tables(spark, sf_dir)[1:], strict=True):
-        df.write.parquet(f"{out}/{name}")
-    issue_pages(spark, sf_dir).write.parquet(f"{out}/issues")
+        df.write.option("compression", "zstd").parquet(f"{out}/{name}")
+    issue_pages(spark, sf_dir).write.option("compression", "zstd").parquet(f"{out}/issues")
     schema = spark.read.parquet(f"{out}/issues").schema
     for log in ("log", "again"):
         issues = jobs.read_stream(spark, f"{out}/issues", schema)

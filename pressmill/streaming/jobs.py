@@ -23,7 +23,7 @@ from pressmill.operators.routing import NEEDS_SCRIPT, route
 from pressmill.plans.ask import ask
 from pressmill.plans.corpus import article_markdown
 from pressmill.plans.index import append_documents
-from pressmill.session import frozen, released
+from pressmill.session import frozen, released, sparing_disk
 from pressmill.sources.tables import read_table
 from pressmill.sources.writers import forget_before, save_articles, save_batch, save_whole_batch, state_before
 
@@ -116,7 +116,8 @@ def stream_corpus(
     reads as they stand. An issue counts as done, and is left out from then on,
     only when every article has its page, or its second copy where it needs one.
     Others are stored with what there is and kept in ``state``; each batch, and
-    each call before its first batch, works on them again.
+    each call before its first batch, works on them again. What a batch writes and
+    shuffles on the way goes as soon as it has been used.
     """
     spark, names = issues.sparkSession, ["num", "item_of", "html"]
 
@@ -133,27 +134,33 @@ def stream_corpus(
             rows = rows.unionByName(seen)
         rows = frozen(first_by_key(rows.filter("num is not null"), ["num"]))
         if rows.isEmpty():
+            released(rows)
             return  # what an earlier batch left to wait has been done since, and is filtered again
         page = spark.createDataFrame([], "url string, html string")
         first, second = [read_table(spark, path) for path in (landed, rendered)]
         first = page if first is None else first.select("url", "html")
         second = page if second is None else second.select("url", "html")
-        articles = frozen(article_markdown(frozen(extract_articles(rows)), first, second))
+        extracted = frozen(extract_articles(rows))
+        articles = frozen(article_markdown(extracted, first, second))
+        released(extracted)
         again = second.filter("html is not null").select("url").distinct()
         missing = articles.filter((F.col("route") == NEEDS_SCRIPT) & F.col("url").isNotNull())
         missing = frozen(missing.join(again, "url", "left_anti").select(F.col("issue_num").alias("num")).distinct())
         save_articles(articles, table)
+        released(articles)
         # new rows only: a batch that is run again finds what it left and adds the same
         save_batch(rows.join(missing, "num", "left_anti").select("num"), f"{state}/done", batch_id, run)
-        waits = frozen(rows.join(missing, "num", "left_semi"))
-        save_whole_batch(waits, f"{state}/waiting", batch_id, run)
+        save_whole_batch(rows.join(missing, "num", "left_semi"), f"{state}/waiting", batch_id, run)
+        released(rows, missing)
         forget_before(spark, f"{state}/waiting", run, batch_id, used)
 
     if (kept := read_table(spark, f"{state}/waiting")) is not None:
-        work(kept.select(*names).limit(0), 0, f"retry-{uuid.uuid4().hex}")
+        with sparing_disk(spark):
+            work(kept.select(*names).limit(0), 0, f"retry-{uuid.uuid4().hex}")
 
     def batch(rows: DataFrame, batch_id: int) -> None:
-        work(rows, batch_id, _run(rows))
+        with sparing_disk(rows.sparkSession):
+            work(rows, batch_id, _run(rows))
 
     return _start(issues.writeStream.foreachBatch(batch), checkpoint)
 

@@ -111,3 +111,21 @@ def test_waiting_issues_do_not_grow_with_the_batches(spark, tmp_path):
     jobs.stream_corpus(stream(spark, tmp_path / "in", schema), *paths).awaitTermination()
     assert sorted(r.num for r in spark.read.parquet(f"{paths[3]}/done").distinct().collect()) == [0, 1, 3]
     assert len(writers.batch_folders(spark, f"{paths[3]}/waiting")) <= 4
+
+
+def test_stream_corpus_leaves_no_table_of_its_own_behind(spark, tmp_path):
+    import pathlib
+
+    issue = '<div class="section"><p><a class="title" href="https://a.example.com/1">One</a></p></div>'
+    spark.createDataFrame([(n, (1, 1), issue) for n in range(3)], "num int, item_of struct<current:int,total:int>, html string").write.parquet(str(tmp_path / "issues"))
+    spark.createDataFrame([("https://a.example.com/1", "<p>text</p>")], "url string, html string").write.parquet(str(tmp_path / "landed"))
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before, names = set(shared.glob("frozen-*")), ["spark.sql.parquet.compression.codec", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"]
+    held = [spark.conf.get(name, None) for name in names]
+    for log in ("log", "again"):
+        issues = jobs.read_stream(spark, str(tmp_path / "issues"), spark.read.parquet(str(tmp_path / "issues")).schema)
+        at = [str(tmp_path / name) for name in ("landed", "rendered", "table", "state", log)]
+        jobs.stream_corpus(issues, *at).awaitTermination()
+    assert (tmp_path / "state").exists()
+    assert set(shared.glob("frozen-*")) == before
+    assert [spark.conf.get(name, None) for name in names] == held
